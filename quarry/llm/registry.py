@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, sharding
 
 
 def queries() -> dict:
-    return {"op5_hypergeometric_shards": sharding.op5_hypergeometric_shards}
+    return {
+        "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
