@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_risk_controlled_quality": quality.op7_risk_controlled_quality,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
