@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_risk_controlled_quality": quality.op7_risk_controlled_quality,
+        "op3_simhash_groups": simhash.op3_simhash_groups,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
