@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, simhash
+from . import mixing, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_risk_controlled_quality": quality.op7_risk_controlled_quality,
         "op3_simhash_groups": simhash.op3_simhash_groups,
+        "op8_weakly_supervised_pii": pii.op8_weakly_supervised_pii,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
