@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, sharding, simhash
+from . import langid, mixing, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op7_risk_controlled_quality": quality.op7_risk_controlled_quality,
         "op3_simhash_groups": simhash.op3_simhash_groups,
         "op8_weakly_supervised_pii": pii.op8_weakly_supervised_pii,
+        "op1_byte_gru_language": langid.op1_byte_gru_language,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
