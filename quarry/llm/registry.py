@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, quality, sharding, simhash
+from . import ann, langid, mixing, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash_groups": simhash.op3_simhash_groups,
         "op8_weakly_supervised_pii": pii.op8_weakly_supervised_pii,
         "op1_byte_gru_language": langid.op1_byte_gru_language,
+        "op2_ivf_pq_neighbours": ann.op2_ivf_pq_neighbours,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
