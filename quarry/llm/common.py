@@ -6,6 +6,10 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,34 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with _f and _r, which name each row by its file and place there, however a later scan is split.
+
+    A DataFrame that isn't a plain file scan is stored first.
+    """
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    except AnalysisException:
+        return numbered(materialize(df, "rows"))
+
+
+def side_table(df: DataFrame, tag: str) -> str:
+    """Writes df (with _f and _r) by file and in row order, so that a scan of the rows can look up what belongs to them."""
+    path = shared_path(df.sparkSession, tag)
+    df.repartition("_f").sortWithinPartitions("_f", "_r").write.partitionBy("_f").option("parquet.block.size", 4 << 20).parquet(path)
+    return path
+
+
+def side_rows(path: str, file: int, first: int, last: int) -> pa.Table | None:
+    """The rows of a side table that belong to rows first to last of a file; read where they are needed, a batch at a time."""
+    fs, root = (pafs.LocalFileSystem(), posix(path)) if "://" not in path or path.startswith("file:") else pafs.FileSystem.from_uri(path)
+    folder = f"{root}/_f={file}"
+    if fs.get_file_info(folder).type == pafs.FileType.NotFound:
+        return None
+    where = (pads.field("_r") >= first) & (pads.field("_r") <= last)
+    return pads.dataset(folder, filesystem=fs, format="parquet").to_table(filter=where).sort_by("_r")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

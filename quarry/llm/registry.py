@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, mixing, pii, quality, sharding, simhash
+from . import ann, langid, mixing, pii, quality, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op8_weakly_supervised_pii": pii.op8_weakly_supervised_pii,
         "op1_byte_gru_language": langid.op1_byte_gru_language,
         "op2_ivf_pq_neighbours": ann.op2_ivf_pq_neighbours,
+        "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
