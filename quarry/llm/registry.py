@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, mixing, pii, quality, sharding, simhash, suffix_dedup
+from . import ann, langid, mixing, ngram_lm, pii, quality, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op1_byte_gru_language": langid.op1_byte_gru_language,
         "op2_ivf_pq_neighbours": ann.op2_ivf_pq_neighbours,
         "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+        "op9_elias_fano_scores": ngram_lm.op9_elias_fano_scores,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
