@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, mixing, ngram_lm, pii, quality, sharding, simhash, suffix_dedup
+from . import ann, langid, mixing, ngram_lm, pii, quality, sentencepieces, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op2_ivf_pq_neighbours": ann.op2_ivf_pq_neighbours,
         "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
         "op9_elias_fano_scores": ngram_lm.op9_elias_fano_scores,
+        "op6_sentencepiece_lattice": sentencepieces.op6_sentencepiece_lattice,
         "op5_hypergeometric_shards": sharding.op5_hypergeometric_shards,
     }
 
