@@ -41,9 +41,12 @@ def _ascii(text: str) -> str:
     return "".join(c for c in flat if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
-def _ascii_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else _ascii(x))
+def _ascii_udf(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else _ascii(x))
+
+    return run(c)
 
 
 # char filters

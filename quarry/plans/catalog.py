@@ -1,17 +1,526 @@
-"""Registered queries of the engine and their SQL oracles."""
+"""Registered queries of the engine, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import analysis, dates, geo, script
+from ..operators import aggs, highlight, scoring, vectors
+from ..sources.engine import Engine
+from . import dsl
+from . import query as q
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+KEYWORDS = {c: {"type": "keyword"} for c in ("c_name", "c_mktsegment", "o_orderstatus", "o_orderpriority", "p_brand", "p_type", "l_returnflag", "l_linestatus", "event_type", "lang", "source", "n_name", "r_name", "s_name", "url", "role")}
+SIMPLE = {"text": {"type": "text", "analyzer": "simple"}, "p_name": {"type": "text", "analyzer": "simple"}}
+IDS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id", "events": "event_id", "embeddings": "vec_id", "pages": "page_id", "nation": "n_nationkey", "region": "r_regionkey", "benchmark": "item_id", "conversations": "conv_id"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def engine(spark: SparkSession, sf_dir: str, *names: str, **frames: DataFrame) -> Engine:
+    e = Engine(spark)
+    for n in names:
+        e.create_index(n, table(spark, sf_dir, n), KEYWORDS | SIMPLE, IDS[n])
+    for n, df in frames.items():
+        e.create_index(n, df, KEYWORDS | SIMPLE, df.columns[0])
+    return e
+
+
+def enter(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = " ".join(sql.split())
+        return f
+
+    return put
+
+
+def found(name: str, index: str, query, sql_where: str, columns: str | None = None) -> None:
+    """A query whose result is the matching rows' ids."""
+    cols = (columns or IDS[index]).split(", ")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine(spark, sf_dir, index).matches(index, query).select(*cols)
+
+    enter(name, f"SELECT {', '.join(cols)} FROM {index} WHERE {sql_where}")(run)
+
+
+TOKS = r"regexp_extract_all(lower(text), '\p{L}+')"
+PTOKS = r"regexp_extract_all(lower(p_name), '\p{L}+')"
+
+# term-level queries
+found("q_term_keyword", "orders", {"term": {"o_orderstatus": "F"}}, "o_orderstatus = 'F'")
+found("q_term_number", "part", {"term": {"p_size": "7"}}, "p_size = 7")
+found("q_term_text", "documents", {"term": {"text": "the"}}, f"list_contains({TOKS}, 'the')")
+found("q_term_case", "orders", {"term": {"o_orderstatus": "O"}}, "o_orderstatus IN ('O', 'o')")
+found("q_terms", "customer", {"terms": {"c_mktsegment": ["BUILDING", "MACHINERY", "BUILDING"]}}, "c_mktsegment IN ('BUILDING', 'MACHINERY')")
+found("q_terms_number", "part", {"terms": {"p_size": [1, 2, 3]}}, "p_size IN (1, 2, 3)")
+found("q_range_number", "lineitem", {"range": {"l_quantity": {"gte": 10, "lt": 20}}}, "l_quantity >= 10 AND l_quantity < 20", "l_orderkey, l_linenumber")
+found("q_range_from_to", "part", {"range": {"p_retailprice": {"from": 920, "to": 950, "include_upper": False}}}, "p_retailprice >= 920 AND p_retailprice < 950")
+found("q_range_date", "orders", {"range": {"o_orderdate": {"gte": "1995-01-01", "lt": "1996-01-01"}}}, "o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
+found("q_range_date_format", "orders", {"range": {"o_orderdate": {"gte": "01/06/1996", "format": "dd/MM/yyyy"}}}, "o_orderdate >= TIMESTAMP '1996-06-01'")
+found("q_range_term", "customer", {"range": {"c_mktsegment": {"gte": "F", "lt": "M"}}}, "c_mktsegment >= 'F' AND c_mktsegment < 'M'")
+found("q_prefix", "part", {"prefix": {"p_type": "STAND"}}, "starts_with(p_type, 'STAND')")
+found("q_prefix_text", "documents", {"prefix": {"text": "ab"}}, f"len(list_filter({TOKS}, lambda x: starts_with(x, 'ab'))) > 0")
+found("q_wildcard", "part", {"wildcard": {"p_brand": {"value": "B?and#*1", "case_insensitive": False}}}, "regexp_full_match(p_brand, 'B.and#.*1')")
+found("q_wildcard_text", "documents", {"wildcard": {"text": "TH*ER"}}, f"len(list_filter({TOKS}, lambda x: regexp_full_match(x, 'th.*er'))) > 0")
+found("q_regexp", "nation", {"regexp": {"n_name": "N.*_1[0-5]?"}}, "regexp_full_match(n_name, 'N.*_1[0-5]?')")
+found("q_fuzzy", "documents", {"fuzzy": {"text": {"value": "ther", "fuzziness": 1}}}, f"len(list_filter({TOKS}, lambda x: levenshtein(x, 'ther') <= 1)) > 0")
+found("q_fuzzy_auto_prefix", "documents", {"fuzzy": {"text": {"value": "onther", "fuzziness": "auto", "prefix_length": 2}}}, f"len(list_filter({TOKS}, lambda x: levenshtein(x, 'onther') <= 2 AND starts_with(x, 'on'))) > 0")
+found("q_exists", "events", {"exists": {"field": "props"}}, "props IS NOT NULL")
+found("q_exists_missing", "events", {"exists": {"field": "nothing"}}, "false")
+found("q_match_all", "region", {"match_all": {}}, "true")
+found("q_match_none", "region", {"match_none": {}}, "false")
+
+# full text
+found("q_match_or", "documents", {"match": {"text": "The erwh"}}, f"list_has_any({TOKS}, ['the', 'erwh'])")
+found("q_match_and", "documents", {"match": {"text": {"query": "the of and", "operator": "and"}}}, f"list_has_all({TOKS}, ['the', 'of', 'and'])")
+found("q_match_fuzzy", "documents", {"match": {"text": {"query": "andd", "fuzziness": 1}}}, f"len(list_filter({TOKS}, lambda x: levenshtein(x, 'andd') <= 1)) > 0")
+found("q_match_phrase", "documents", {"match_phrase": {"text": "of the"}}, rf"contains(' ' || array_to_string({TOKS}, ' ') || ' ', ' of the ')")
+found("q_match_phrase_prefix", "documents", {"match_phrase_prefix": {"text": "in the"}}, rf"contains(' ' || array_to_string({TOKS}, ' ') || ' ', ' in the ')")
+found("q_multi_match", "part", {"multi_match": {"query": "ring", "fields": ["p_name", "p_brand"]}}, f"list_contains({PTOKS}, 'ring') OR p_brand = 'ring'")
+found("q_match_bool_prefix", "documents", {"match_bool_prefix": {"text": "erth ndre"}}, f"list_has_any({TOKS}, ['erth', 'ndre'])")
+found("q_common", "documents", {"common": {"text": {"query": "le la"}}}, f"list_has_any({TOKS}, ['le', 'la'])")
+found("q_more_like_this", "documents", {"more_like_this": {"fields": ["text"], "like": ["der die"]}}, f"list_has_any({TOKS}, ['der', 'die'])")
+found("q_query_string", "documents", {"query_string": {"query": "+text:the -text:der n_chars:>500"}}, f"list_contains({TOKS}, 'the') AND NOT list_contains({TOKS}, 'der')")
+found("q_query_string_phrase", "documents", {"query_string": {"query": '+text:"of the" +text:an*'}}, rf"contains(' ' || array_to_string({TOKS}, ' ') || ' ', ' of the ') AND len(list_filter({TOKS}, lambda x: starts_with(x, 'an'))) > 0")
+found("q_query_string_regex", "documents", {"simple_query_string": {"query": "text:/th.*tion/ text:\"la de\""}}, rf"len(list_filter({TOKS}, lambda x: regexp_full_match(x, 'th.*tion'))) > 0 OR contains(' ' || array_to_string({TOKS}, ' ') || ' ', ' la de ')")
+found("q_query_string_range", "part", {"query_string": {"query": "+p_size:>=10 +p_size:<20 +p_retailprice:>950"}}, "p_size >= 10 AND p_size < 20 AND p_retailprice > 950")
+
+# compound
+found("q_bool", "orders", {"bool": {"must": [{"term": {"o_orderstatus": "F"}}], "filter": [{"range": {"o_totalprice": {"gt": 100000}}}], "must_not": [{"term": {"o_orderpriority": "1-URGENT"}}], "should": [{"prefix": {"o_orderpriority": "2"}}]}}, "o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderpriority <> '1-URGENT'")
+found("q_minimum_should_match", "documents", {"bool": {"should": [{"match": {"text": w}} for w in ("the", "of", "le", "der")], "minimum_should_match": "50%"}}, f"len(list_intersect({TOKS}, ['the', 'of', 'le', 'der'])) >= 2")
+found("q_must_not_only", "customer", {"bool": {"must_not": {"term": {"c_mktsegment": "BUILDING"}}}}, "c_mktsegment <> 'BUILDING' OR c_mktsegment IS NULL")
+found("q_dis_max", "documents", {"dis_max": {"queries": [{"match": {"text": "le"}}, {"term": {"lang": "de"}}]}}, f"list_contains({TOKS}, 'le') OR lang = 'de'")
+found("q_constant_score", "documents", {"constant_score": {"filter": {"term": {"lang": "fr"}}, "boost": 2}}, "lang = 'fr'")
+found("q_boosting", "documents", {"boosting": {"positive": {"term": {"lang": "es"}}, "negative": {"match": {"text": "de"}}, "negative_boost": 0.2}}, "lang = 'es'")
+found("q_pinned", "region", {"pinned": {"ids": ["0"], "organic": {"term": {"r_name": "ASIA"}}}}, "r_regionkey = 0 OR r_name = 'ASIA'")
+found("q_ids", "nation", {"ids": {"values": ["3", "5", "99", 7]}}, "n_nationkey IN (3, 5, 99)")
+found("q_wrapper", "region", {"wrapper": {"query": "eyJ0ZXJtIjp7InJfbmFtZSI6IkVVUk9QRSJ9fQ=="}}, "r_name = 'EUROPE'")
+found("q_span_near", "documents", {"span_near": {"clauses": [{"span_term": {"text": "of"}}, {"span_term": {"text": "la"}}], "slop": 3}}, f"list_has_all({TOKS}, ['of', 'la'])")
+found("q_span_or", "documents", {"span_or": {"clauses": [{"span_term": {"text": "und"}}, {"span_term": {"text": "que"}}]}}, f"list_has_any({TOKS}, ['und', 'que'])")
+found("q_span_not", "documents", {"span_not": {"include": {"span_term": {"text": "the"}}, "exclude": {"span_term": {"text": "of"}}}}, f"list_contains({TOKS}, 'the') AND NOT list_contains({TOKS}, 'of')")
+found("q_span_first", "documents", {"span_first": {"match": {"span_term": {"text": "was"}}, "end": 3}}, f"list_contains({TOKS}, 'was')")
+found("q_span_within", "documents", {"span_within": {"big": {"span_term": {"text": "the"}}, "little": {"span_term": {"text": "on"}}}}, f"list_has_all({TOKS}, ['the', 'on'])")
+found("q_script_filter", "orders", {"script": {"script": {"source": "doc['o_totalprice'].value > params.low && doc['o_orderstatus'].value == 'O' ? true : false", "params": {"low": 150000}}}}, "o_totalprice > 150000 AND o_orderstatus = 'O'")
+found("q_script_math", "part", {"script": {"script": "Math.floor(doc['p_retailprice'].value / 10) % 2 == 0 && doc['p_name'].value.length() > 9"}}, "floor(p_retailprice / 10) % 2 = 0 AND length(p_name) > 9")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Matched, filtered, scored and ordered documents."""
+    e = engine(spark, sf_dir, "documents")
+    body = {"bool": {"must": [{"match": {"text": "the of"}}], "filter": [{"term": {"lang": "en"}}, {"range": {"n_chars": {"gte": 200}}}]}}
+    d = e.scored("documents", body)
+    return e.page(e.resolve("documents"), d, ["-_score"], 20).select("doc_id", "lang", "n_chars", F.round("_score", 6).alias("score"))
+
+
+QUERIES["q_flagship"] = flagship
+
+
+# joins and nested
+@enter("q_has_child", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
+def has_child(spark, sf_dir):
+    return _family(spark, sf_dir).matches("family", {"has_child": {"type": "line", "query": {"range": {"quantity": {"gt": 48}}}}}).select(F.substring("_id", 2, 20).cast("long").alias("id"))
+
+
+@enter("q_has_parent", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def has_parent(spark, sf_dir):
+    d = _family(spark, sf_dir).matches("family", {"has_parent": {"parent_type": "order", "query": {"term": {"status": "P"}}}})
+    return d.select(F.substring_index(F.substring("_id", 2, 30), "-", 1).cast("long").alias("l_orderkey"), F.substring_index("_id", "-", -1).cast("int").alias("l_linenumber"))
+
+
+@enter("q_no_child", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)")
+def no_child(spark, sf_dir):
+    body = {"bool": {"must": {"term": {"_join_name": "order"}}, "must_not": {"has_child": {"type": "line", "query": {"range": {"discount": {"gt": 0.05}}}}}}}
+    return _family(spark, sf_dir).matches("family", body).select(F.substring("_id", 2, 20).cast("long").alias("id"))
+
+
+def _family(spark, sf_dir) -> Engine:
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("_id"), F.lit("order").alias("_join_name"), F.lit(None).cast("string").alias("_join_parent"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("double").alias("discount"))
+    line = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("_id"), F.lit("line").alias("_join_name"), F.concat(F.lit("o"), "l_orderkey").alias("_join_parent"), F.lit(None).cast("string").alias("status"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    e = Engine(spark)
+    e.create_index("family", o.unionByName(line), {c: {"type": "keyword"} for c in ("_join_name", "_join_parent", "status")})
+    return e
+
+
+def _nested(spark, sf_dir) -> Engine:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))).alias("lines"))
+    e = Engine(spark)
+    e.create_index("nested", rows, {"lines.flag": {"type": "keyword"}}, "l_orderkey")
+    return e
+
+
+NESTED = {"bool": {"must": [{"term": {"lines.flag": "R"}}, {"range": {"lines.quantity": {"gte": 45}}}]}}
+
+
+@enter("q_nested", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45")
+def nested(spark, sf_dir):
+    return _nested(spark, sf_dir).matches("nested", {"nested": {"path": "lines", "query": NESTED}}).select("l_orderkey")
+
+
+@enter("q_nested_agg", "SELECT count(*) AS n FROM lineitem")
+def nested_agg(spark, sf_dir):
+    e = _nested(spark, sf_dir)
+    i = e.resolve("nested")
+    return aggs.bucket_frame(e.context(i), i.df, "nested", {"path": "lines"}, {}, dsl.parse).select(F.col("doc_count").alias("n"))
+
+
+# scoring
+@enter("q_tfidf_term", f"WITH t AS (SELECT doc_id, {TOKS} AS k FROM documents), s AS (SELECT count(*) AS n, count(*) FILTER (list_contains(k, 'the')) AS d FROM t) SELECT doc_id, round(sqrt(len(list_filter(k, lambda x: x = 'the'))) / sqrt(len(k)) * (1 + ln(n / (d + 1))), 6) AS score FROM t, s WHERE list_contains(k, 'the')")
+def tfidf(spark, sf_dir):
+    return engine(spark, sf_dir, "documents").scored("documents", {"term": {"text": "the"}}).select("doc_id", F.round("_score", 6).alias("score"))
+
+
+_BM25 = "sqrt(len(list_filter(k, lambda x: x = '{t}')))"
+
+
+@enter("q_bm25_term", f"WITH t AS (SELECT doc_id, {TOKS} AS k FROM documents), s AS (SELECT count(*) AS n, count(*) FILTER (list_contains(k, 'of')) AS d, avg(len(k)) AS a FROM t) SELECT doc_id, round(ln(1 + (n - d + 0.5) / (d + 0.5)) * {_BM25.format(t='of')} * 1.2 / ({_BM25.format(t='of')} + 1.2 * (0.25 + 0.75 * len(k) / a)), 6) AS score FROM t, s WHERE list_contains(k, 'of')")
+def bm25_term(spark, sf_dir):
+    e = engine(spark, sf_dir, "documents")
+    e.indexes["documents"].scoring = "bm25"
+    return e.scored("documents", {"term": {"text": "of"}}).select("doc_id", F.round("_score", 6).alias("score"))
+
+
+@enter(
+    "q_tfidf_match",
+    f"""WITH t AS (SELECT doc_id, {TOKS} AS k FROM documents),
+    s AS (SELECT 1 + ln(count(*) / (count(*) FILTER (list_contains(k, 'the')) + 1)) AS i1, 1 + ln(count(*) / (count(*) FILTER (list_contains(k, 'le')) + 1)) AS i2 FROM t)
+    SELECT doc_id, round((sqrt(len(list_filter(k, lambda x: x = 'the'))) * i1 * i1 + sqrt(len(list_filter(k, lambda x: x = 'le'))) * i2 * i2) / sqrt(len(k)) / sqrt(i1 * i1 + i2 * i2)
+      * (list_contains(k, 'the')::INT + list_contains(k, 'le')::INT) / 2.0, 6) AS score FROM t, s WHERE list_has_any(k, ['the', 'le'])""",
+)
+def tfidf_match(spark, sf_dir):
+    return engine(spark, sf_dir, "documents").scored("documents", {"match": {"text": "the le"}}).select("doc_id", F.round("_score", 6).alias("score"))
+
+
+@enter(
+    "q_postings_bm25",
+    f"""WITH t AS (SELECT doc_id, {TOKS} AS k FROM documents), c AS (SELECT count(*) AS n, avg(len(k)) AS a FROM t),
+    p AS (SELECT doc_id, len(k) AS dl, w, len(list_filter(k, lambda x: x = w)) AS tf FROM t, (SELECT unnest(['the', 'und']) AS w)),
+    d AS (SELECT w, count(*) AS d FROM p WHERE tf > 0 GROUP BY w)
+    SELECT doc_id AS id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM p JOIN d USING (w), c WHERE tf > 0 GROUP BY doc_id""",
+)
+def postings_bm25(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", analysis.simple(F.col("text")).alias("t"))
+    n, a = d.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    return scoring.bm25(scoring.postings(d, "doc_id", {"text": F.col("t")}), n, a, "text", ["the", "und"]).select("id", F.round("score", 6).alias("score"))
+
+
+@enter("q_dictionary", f"SELECT term, count(*) AS count FROM (SELECT DISTINCT doc_id, unnest({TOKS}) AS term FROM documents) WHERE starts_with(term, 'an') GROUP BY term")
+def dictionary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return scoring.dictionary(scoring.postings(d, "doc_id", {"text": analysis.simple(F.col("text"))}), "text", "an")
+
+
+def scored(name: str, index: str, query, sql: str) -> None:
+    key = IDS[index]
+
+    def run(spark, sf_dir):
+        return engine(spark, sf_dir, index).scored(index, query).select(key, F.round("_score", 6).alias("score"))
+
+    enter(name, sql)(run)
+
+
+scored("q_function_score", "part", {"function_score": {"query": {"range": {"p_size": {"lt": 20}}}, "functions": [{"field_value_factor": {"field": "p_retailprice", "factor": 0.001, "modifier": "log1p"}}, {"filter": {"term": {"p_brand": "Brand#2"}}, "weight": 3}], "score_mode": "sum", "boost_mode": "replace"}}, "SELECT p_partkey, round(log10(p_retailprice * 0.001 + 1) + CASE WHEN p_brand = 'Brand#2' THEN 3 ELSE 0 END, 6) AS score FROM part WHERE p_size < 20")
+scored("q_decay_gauss", "part", {"function_score": {"functions": [{"gauss": {"p_size": {"origin": 20, "scale": 5, "offset": 1}}}]}}, "SELECT p_partkey, round(exp(-pow(greatest(0, abs(p_size - 20) - 1), 2) / (25 / ln(2))), 6) AS score FROM part")
+scored("q_decay_linear", "part", {"function_score": {"functions": [{"linear": {"p_size": {"origin": 10, "scale": 10}}}]}}, "SELECT p_partkey, round(greatest(0, 1 - abs(p_size - 10) / 10.0 * 0.5), 6) AS score FROM part")
+scored("q_decay_exp", "part", {"function_score": {"functions": [{"exp": {"p_size": {"origin": 10, "scale": 10, "decay": 0.3}}}]}}, "SELECT p_partkey, round(pow(0.3, abs(p_size - 10) / 10.0), 6) AS score FROM part")
+scored("q_script_score", "orders", {"script_score": {"query": {"term": {"o_orderstatus": "P"}}, "script": {"source": "Math.log(doc['o_totalprice'].value + 1) * params.w", "params": {"w": 2}}}}, "SELECT o_orderkey, round(ln(o_totalprice + 1) * 2, 6) AS score FROM orders WHERE o_orderstatus = 'P'")
+scored("q_boosting_score", "part", {"boosting": {"positive": {"range": {"p_size": {"gte": 40}}}, "negative": {"term": {"p_brand": "Brand#3"}}, "negative_boost": 0.25}}, "SELECT p_partkey, CASE WHEN p_brand = 'Brand#3' THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS score FROM part WHERE p_size >= 40")
+
+
+# order and pages
+def paged(name: str, index: str, sort: list, sql_order: str, columns: str, size: int = 25, start: int = 0, after: list | None = None, before: list | None = None, where: str = "true") -> None:
+    def run(spark, sf_dir):
+        e = engine(spark, sf_dir, index)
+        i = e.resolve(index)
+        return e.page(i, i.df.withColumn("_score", F.lit(1.0)), sort, size, start, after, before).select(*columns.split(", "))
+
+    enter(name, f"SELECT {columns} FROM {index} WHERE {where} ORDER BY {sql_order} LIMIT {size} OFFSET {start}")(run)
+
+
+paged("q_sort_multi", "customer", [{"c_mktsegment": "asc"}, {"c_acctbal": {"order": "desc"}}], "c_mktsegment, c_acctbal DESC, c_custkey", "c_custkey, c_mktsegment")
+paged("q_sort_page", "supplier", ["-s_acctbal"], "s_acctbal DESC, s_suppkey", "s_suppkey, s_acctbal", 10, 5)
+paged("q_search_after", "customer", [{"c_nationkey": "asc"}], "c_nationkey, c_custkey", "c_custkey, c_nationkey", 20, after=[3, 50], where="c_nationkey > 3 OR (c_nationkey = 3 AND c_custkey > 50)")
+paged("q_sort_script", "part", [{"_script": {"script": "doc['p_size'].value % 7", "type": "number", "order": "desc"}}], "p_size % 7 DESC, p_partkey", "p_partkey, p_size")
+enter("q_search_before", "SELECT c_custkey FROM (SELECT c_custkey FROM customer WHERE c_custkey < 60 ORDER BY c_custkey DESC LIMIT 15)")(lambda spark, sf_dir: _before(spark, sf_dir))
+enter("q_sort_missing_first", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) ORDER BY v NULLS FIRST, k LIMIT 60")(lambda spark, sf_dir: _missing(spark, sf_dir, "_first"))
+enter("q_sort_missing_last", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) ORDER BY v DESC NULLS LAST, k LIMIT 60")(lambda spark, sf_dir: _missing(spark, sf_dir, "_last", "desc"))
+
+
+def _before(spark, sf_dir):
+    e = engine(spark, sf_dir, "customer")
+    i = e.resolve("customer")
+    return e.page(i, i.df.withColumn("_score", F.lit(1.0)), [{"c_custkey": "asc"}], 15, before=[60, 60]).select("c_custkey")
+
+
+def _missing(spark, sf_dir, where, order="asc"):
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("v"))
+    e = engine(spark, sf_dir, rows=d)
+    return e.page(e.resolve("rows"), d.withColumn("_score", F.lit(1.0)), [{"v": {"order": order, "missing": where}}], 60).select("k", "v")
+
+
+# aggregations
+def bucketed(name: str, index: str, kind: str, spec: dict, subs: dict, columns: dict[str, str], sql: str, query=None) -> None:
+    def run(spark, sf_dir):
+        e = engine(spark, sf_dir, index)
+        d = e.matches(index, query or {"match_all": {}})
+        out = aggs.bucket_frame(e.context(e.resolve(index)), d, kind, spec, subs, dsl.parse)
+        return out.select(*(F.expr(x).alias(n) for n, x in columns.items()))
+
+    enter(name, sql)(run)
+
+
+bucketed("q_agg_terms", "lineitem", "terms", {"field": "l_returnflag"}, {"q": {"sum": {"field": "l_quantity"}}, "a": {"avg": {"field": "l_discount"}}}, {"key": "key", "n": "doc_count", "q": "round(q, 2)", "a": "round(a, 6)"}, "SELECT l_returnflag AS key, count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS a FROM lineitem GROUP BY 1")
+bucketed("q_agg_terms_top", "orders", "terms", {"field": "o_custkey", "size": 7}, {}, {"key": "key", "n": "doc_count"}, "SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, key LIMIT 7")
+bucketed("q_agg_terms_text", "documents", "terms", {"field": "text", "size": 15}, {}, {"key": "key", "n": "doc_count"}, f"SELECT key, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({TOKS}) AS key FROM documents) GROUP BY key ORDER BY n DESC, key LIMIT 15")
+bucketed("q_agg_range", "part", "range", {"field": "p_size", "ranges": [{"to": 10}, {"from": 10, "to": 30}, {"from": 30}, {"from": 5, "to": 15, "key": "mid"}]}, {}, {"key": "key", "n": "doc_count"}, "SELECT key, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN p_size < 10 THEN '*-10' END, CASE WHEN p_size >= 10 AND p_size < 30 THEN '10-30' END, CASE WHEN p_size >= 30 THEN '30+' END, CASE WHEN p_size >= 5 AND p_size < 15 THEN 'mid' END], lambda x: x IS NOT NULL)) AS key FROM part) GROUP BY key")
+bucketed("q_agg_date_range", "orders", "date_range", {"field": "o_orderdate", "ranges": [{"to": "1995-01-01", "key": "old"}, {"from": "1995-01-01", "key": "new"}]}, {"p": {"max": {"field": "o_totalprice"}}}, {"key": "key", "n": "doc_count", "p": "p"}, "SELECT CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'old' ELSE 'new' END AS key, count(*) AS n, max(o_totalprice) AS p FROM orders GROUP BY 1")
+bucketed("q_agg_filter", "orders", "filter", {"term": {"o_orderstatus": "F"}}, {"m": {"min": {"field": "o_totalprice"}}}, {"n": "doc_count", "m": "m"}, "SELECT count(*) AS n, min(o_totalprice) AS m FROM orders WHERE o_orderstatus = 'F'")
+bucketed("q_agg_filters", "orders", "filters", {"filters": {"f": {"term": {"o_orderstatus": "F"}}, "big": {"range": {"o_totalprice": {"gte": 200000}}}}}, {}, {"key": "key", "n": "doc_count"}, "SELECT 'f' AS key, count(*) AS n FROM orders WHERE o_orderstatus = 'F' HAVING count(*) > 0 UNION ALL SELECT 'big', count(*) FROM orders WHERE o_totalprice >= 200000 HAVING count(*) > 0")
+bucketed("q_agg_composite", "lineitem", "composite", {"size": 12, "sources": [{"flag": {"terms": {"field": "l_returnflag"}}}, {"status": {"terms": {"field": "l_linestatus"}}}], "after": {"flag": "A", "status": "F"}}, {}, {"flag": "flag", "status": "status", "n": "doc_count"}, "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem WHERE l_returnflag > 'A' OR (l_returnflag = 'A' AND l_linestatus > 'F') GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 12")
+bucketed("q_agg_histogram", "part", "histogram", {"field": "p_retailprice", "interval": 250}, {}, {"key": "key", "n": "doc_count"}, "SELECT floor(p_retailprice / 250) * 250.0 AS key, count(*) AS n FROM part GROUP BY 1")
+bucketed("q_agg_date_histogram", "events", "date_histogram", {"field": "ts", "calendar_interval": "day"}, {"v": {"sum": {"field": "value"}}}, {"key": "cast(key AS string)", "n": "doc_count", "v": "round(v, 3)"}, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS key, count(*) AS n, round(sum(value), 3) AS v FROM events GROUP BY 1")
+bucketed("q_agg_bucket_script", "lineitem", "terms", {"field": "l_linestatus"}, {"rev": {"sum": {"field": "l_extendedprice"}}, "qty": {"sum": {"field": "l_quantity"}}, "unit": {"bucket_script": {"buckets_path": {"r": "rev", "q": "qty"}, "script": "params.r / params.q"}}}, {"key": "key", "unit": "round(unit, 4)"}, "SELECT l_linestatus AS key, round(sum(l_extendedprice) / sum(l_quantity), 4) AS unit FROM lineitem GROUP BY 1")
+
+
+def measured(name: str, index: str, metrics: dict, columns: dict[str, str], sql: str) -> None:
+    def run(spark, sf_dir):
+        e = engine(spark, sf_dir, index)
+        i = e.resolve(index)
+        made = {f"{n}_{p}": c for n, (k, s, _) in aggs.split(metrics)[0].items() for p, c in aggs.metric_columns(e.context(i), n, k, s).items()}
+        return i.df.agg(*(c.alias(n) for n, c in made.items())).select(*(F.expr(x).alias(n) for n, x in columns.items()))
+
+    enter(name, sql)(run)
+
+
+measured("q_agg_stats", "lineitem", {"s": {"stats": {"field": "l_extendedprice"}}}, {"n": "s_count", "lo": "s_min", "hi": "s_max", "mean": "round(s_avg, 2)", "total": "round(s_sum, 0)", "sd": "round(s_std_deviation, 1)"}, "SELECT count(l_extendedprice) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, round(avg(l_extendedprice), 2) AS mean, round(sum(l_extendedprice), 0) AS total, round(stddev_pop(l_extendedprice), 1) AS sd FROM lineitem")
+measured("q_agg_metrics", "orders", {"c": {"cardinality": {"field": "o_custkey"}}, "v": {"value_count": {"field": "o_totalprice"}}, "m": {"max": {"field": "o_totalprice"}}, "k": {"min": {"field": "o_totalprice"}}, "a": {"avg": {"script": "doc['o_totalprice'].value * 2"}}}, {"c": "c_value", "v": "v_value", "m": "m_value", "k": "k_value", "a": "round(a_value, 3)"}, "SELECT count(DISTINCT o_custkey) AS c, count(o_totalprice) AS v, max(o_totalprice) AS m, min(o_totalprice) AS k, round(avg(o_totalprice * 2), 3) AS a FROM orders")
+
+
+@enter("q_agg_sub_terms", "SELECT parent, key, n FROM (SELECT o_orderstatus AS parent, o_orderpriority AS key, count(*) AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY 1, 2) WHERE r <= 3")
+def sub_terms(spark, sf_dir):
+    e = engine(spark, sf_dir, "orders")
+    i = e.resolve("orders")
+    ctx = e.context(i)
+    inside = aggs.keyed(ctx, i.df, "terms", {"field": "o_orderstatus"}, dsl.parse).withColumnRenamed("_key", "parent")
+    return aggs.bucket_frame(ctx, inside, "terms", {"field": "o_orderpriority", "size": 3}, {}, dsl.parse, ["parent"]).select("parent", "key", F.col("doc_count").alias("n"))
+
+
+@enter("q_top_hits", "SELECT o_orderstatus, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
+def top_hits(spark, sf_dir):
+    e = engine(spark, sf_dir, "orders")
+    i = e.resolve("orders")
+    return aggs.top_hits(e.context(i), i.df, ["o_orderstatus"], {"size": 3}, [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderstatus", "o_orderkey", "o_totalprice")
+
+
+@enter("q_agg_scripted_metric", "SELECT round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue FROM lineitem")
+def scripted(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.round(F.sum(script.expression("doc.l_extendedprice.value * (1 - doc.l_discount.value)")), 0).alias("revenue"))
+
+
+@enter("q_facet", "SELECT l_returnflag AS term, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, term LIMIT 2")
+def facet(spark, sf_dir):
+    e = engine(spark, sf_dir, "lineitem")
+    i = e.resolve("lineitem")
+    f = aggs.facet(e.context(i), i.df, "l_returnflag", 2, dsl.parse)
+    return spark.createDataFrame([(t["term"], t["count"]) for t in f["terms"]], "term string, n long")
+
+
+# vectors
+_V = [round(0.05 * ((i * 7) % 11 - 5), 2) for i in range(64)]
+_SQLV = "[" + ", ".join(f"{x}::DOUBLE" for x in _V) + "]"
+
+
+@enter("q_knn_dot", f"SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], {_SQLV}), 5) AS score FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], {_SQLV}) DESC, vec_id LIMIT 10")
+def knn_dot(spark, sf_dir):
+    return vectors.knn(table(spark, sf_dir, "embeddings"), "embedding", _V, 10, "dot_product", id_col="vec_id").withColumn("score", F.round("score", 5))
+
+
+@enter("q_knn_cosine", f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_SQLV}), 5) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_SQLV}) DESC, vec_id LIMIT 10")
+def knn_cosine(spark, sf_dir):
+    return vectors.knn(table(spark, sf_dir, "embeddings"), "embedding", _V, 10, "cosine", id_col="vec_id").withColumn("score", F.round("score", 5))
+
+
+@enter("q_knn_l2_filter", f"SELECT vec_id AS id, round(1 / list_distance(embedding::DOUBLE[], {_SQLV}), 5) AS score FROM embeddings WHERE label < 5 ORDER BY list_distance(embedding::DOUBLE[], {_SQLV}), vec_id LIMIT 10")
+def knn_l2(spark, sf_dir):
+    return vectors.knn(table(spark, sf_dir, "embeddings"), "embedding", _V, 10, "l2_norm", where=F.col("label") < 5, id_col="vec_id").withColumn("score", F.round("score", 5))
+
+
+_LISTS = f"a AS (SELECT vec_id AS id, list_dot_product(embedding::DOUBLE[], {_SQLV}) AS score FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], {_SQLV}) > 0 ORDER BY score DESC, id LIMIT 30), b AS (SELECT p_partkey AS id, p_retailprice AS score FROM part ORDER BY score DESC, id LIMIT 30)"
+
+
+def _lists(spark, sf_dir):
+    a = vectors.knn(table(spark, sf_dir, "embeddings"), "embedding", _V, 30, "dot_product", id_col="vec_id").where("score > 0")
+    return [a, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))]
+
+
+@enter("q_rrf", f"WITH {_LISTS} SELECT id, round(sum(s), 6) AS score FROM (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM a UNION ALL SELECT id, 2.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM b) GROUP BY id")
+def rrf(spark, sf_dir):
+    return vectors.rrf(_lists(spark, sf_dir), [1.0, 2.0], window=30).withColumn("score", F.round("score", 6))
+
+
+@enter("q_rsf", f"WITH {_LISTS} SELECT id, round(sum(s), 5) AS score FROM (SELECT id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS s FROM a UNION ALL SELECT id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) FROM b) GROUP BY id")
+def rsf(spark, sf_dir):
+    return vectors.rsf(_lists(spark, sf_dir), window=30).withColumn("score", F.round("score", 5))
+
+
+@enter("q_hybrid", f"WITH {_LISTS} SELECT coalesce(a.id, b.id) AS id, round(coalesce(a.score, 0) + coalesce(b.score, 0), 4) AS score FROM a FULL JOIN b ON a.id = b.id")
+def hybrid(spark, sf_dir):
+    a, b = _lists(spark, sf_dir)
+    return vectors.hybrid(a, b.orderBy(F.desc("score"), "id").limit(30)).withColumn("score", F.round("score", 4))
+
+
+# geo and addresses, over coordinates derived from keys
+_GEO = "SELECT c_custkey, (c_custkey * 37 % 360) - 180.0 AS lon, (c_custkey * 53 % 170) - 85.0 AS lat FROM customer"
+
+
+def _places(spark, sf_dir) -> Engine:
+    k = F.col("c_custkey")
+    d = table(spark, sf_dir, "customer").select("c_custkey", F.struct(((k * 37 % 360) - 180.0).cast("double").alias("lon"), ((k * 53 % 170) - 85.0).cast("double").alias("lat")).alias("geo"))
+    return engine(spark, sf_dir, places=d)
+
+
+def placed(name: str, query: dict, where: str) -> None:
+    enter(name, f"SELECT c_custkey FROM ({_GEO}) WHERE {where}")(lambda spark, sf_dir: _places(spark, sf_dir).matches("places", query).select("c_custkey"))
+
+
+placed("q_geo_box", {"geo_bounding_box": {"geo": {"top_left": [-20, 60], "bottom_right": [40, 10]}}}, "lon BETWEEN -20 AND 40 AND lat BETWEEN 10 AND 60")
+placed("q_geo_box_dateline", {"geo_bounding_box": {"geo": {"top_left": [170, 60], "bottom_right": [-170, -60]}}}, "(lon >= 170 OR lon <= -170) AND lat BETWEEN -60 AND 60")
+placed("q_geo_distance", {"geo_distance": {"distance": "3000km", "geo": {"lat": 48.5, "lon": 2.25}}}, "2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(48.5 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.5)) * pow(sin(radians(2.25 - lon) / 2), 2)))) <= 3000")
+placed("q_geo_polygon", {"geo_polygon": {"geo": {"points": [[-60.5, -60.5], [60.5, -60.5], [0.25, 70.5]]}}}, "lat > -60.5 AND lat < 70.5 AND lon < 60.5 + (0.25 - 60.5) * (lat + 60.5) / 131.0 AND lon >= -60.5 + (0.25 + 60.5) * (lat + 60.5) / 131.0")
+
+
+@enter("q_geo_sort", f"SELECT c_custkey FROM ({_GEO}) ORDER BY round(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(10.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10.0)) * pow(sin(radians(20.0 - lon) / 2), 2)))), 6), c_custkey LIMIT 10")
+def geo_sort(spark, sf_dir):
+    d = _places(spark, sf_dir).resolve("places").df
+    return d.orderBy(F.round(geo.haversine(F.col("geo.lon"), F.col("geo.lat"), 20.0, 10.0), 6), "c_custkey").limit(10).select("c_custkey")
+
+
+@enter("q_geo_shape")
+def geo_shape(spark, sf_dir):
+    d = _places(spark, sf_dir).resolve("places").df.select("c_custkey", F.to_json(F.struct(F.lit("point").alias("type"), F.array("geo.lon", "geo.lat").alias("coordinates"))).alias("shape"))
+    return engine(spark, sf_dir, shapes=d).matches("shapes", {"geo_shape": {"shape": {"shape": {"type": "circle", "coordinates": [2.0, 48.0], "radius": "2500km"}, "relation": "within"}}}).select("c_custkey")
+
+
+_NET = ipaddress.ip_network("10.0.0.0/28")
+
+
+@enter("q_ip_range", "SELECT event_id FROM events WHERE user_id % 256 < 16 AND (user_id // 256) % 256 = 0")
+def ip_range(spark, sf_dir):
+    u = F.col("user_id")
+    d = table(spark, sf_dir, "events").select("event_id", F.concat_ws(".", F.lit("10"), F.lit("0"), (F.floor(u / 256) % 256).cast("string"), (u % 256).cast("string")).alias("ip"))
+    return engine(spark, sf_dir, events_ip=d).matches("events_ip", {"ip_range": {"ip": str(_NET)}}).select("event_id")
+
+
+# analysis: token counts of every component that SQL shares
+def analysed(name: str, expr: Callable, sql: str, index: str = "documents", column: str = "text") -> None:
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, index).select(F.explode(expr(F.col(column))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+    enter(name, f"SELECT term, count(*) AS n FROM (SELECT unnest({sql}) AS term FROM {index}) GROUP BY term")(run)
+
+
+_A = analysis
+analysed("q_analyze_simple", _A.simple, TOKS)
+analysed("q_analyze_letter", _A.letter, r"regexp_extract_all(text, '\p{L}+')")
+analysed("q_analyze_whitespace", _A.whitespace, r"regexp_extract_all(text, '\S+')")
+analysed("q_analyze_keyword", lambda c: _A.single(c), "[n_name]", "nation", "n_name")
+analysed("q_analyze_length", lambda c: _A.length(_A.simple(c), 3, 5), f"list_filter({TOKS}, lambda x: length(x) BETWEEN 3 AND 5)")
+analysed("q_analyze_truncate", lambda c: _A.truncate(_A.simple(c), 4), f"list_transform({TOKS}, lambda x: x[1:4])")
+analysed("q_analyze_unique", lambda c: _A.unique(_A.simple(c)), f"list_distinct({TOKS})")
+analysed("q_analyze_reverse", lambda c: _A.reverse(_A.letter(c)), r"list_transform(regexp_extract_all(n_name, '\p{L}+'), lambda x: reverse(x))", "nation", "n_name")
+analysed("q_analyze_ngram", lambda c: _A.ngram(_A.letter(c), 3, 3), r"flatten(list_transform(list_filter(regexp_extract_all(n_name, '\p{L}+'), lambda x: length(x) >= 3), lambda x: list_transform(range(1, length(x) - 1), lambda i: x[i:i + 2])))", "nation", "n_name")
+analysed("q_analyze_edge_ngram", lambda c: _A.edge_ngram(_A.letter(c), 1, 3), r"flatten(list_transform(regexp_extract_all(n_name, '\p{L}+'), lambda x: list_transform(range(1, least(3, length(x)) + 1), lambda i: x[1:i])))", "nation", "n_name")
+analysed("q_analyze_shingle", lambda c: _A.shingle(_A.letter(c), 2, 2), r"list_transform(range(1, len(regexp_extract_all(p_name, '\p{L}+'))), lambda i: regexp_extract_all(p_name, '\p{L}+')[i] || ' ' || regexp_extract_all(p_name, '\p{L}+')[i + 1])", "part", "p_name")
+analysed("q_analyze_stop", lambda c: _A.stop(_A.simple(c), ["of", "the"]), f"list_filter({TOKS}, lambda x: x NOT IN ('of', 'the'))")
+analysed("q_analyze_apostrophe", lambda c: _A.apostrophe(_A.whitespace(c)), r"list_transform(regexp_extract_all(n_name, '\S+'), lambda x: split_part(x, '''', 1))", "nation", "n_name")
+analysed("q_analyze_hierarchy", lambda c: _A.hierarchy(_A.single(c), "/", 10), "list_transform(range(1, len(string_split(url, '/')) + 1), lambda i: array_to_string(string_split(url, '/')[1:i], '/'))", "pages", "url")
+analysed("q_html_strip", lambda c: _A.letter(_A.html(c)), r"regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\p{L}+')", "pages", "html")
+enter("q_analyze_en")(lambda spark, sf_dir: table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(_A.english(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+enter("q_analyze_languages")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.size(_A.ANALYZERS["de"](F.col("text"))).alias("de"), F.size(_A.ANALYZERS["fr"](F.col("text"))).alias("fr"), F.size(_A.ANALYZERS["es"](F.col("text"))).alias("es")))
+
+
+# aliases, percolation, highlights, dates, synonyms
+@enter("q_alias_union", "SELECT 'customer' AS idx, c_custkey AS id FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_acctbal > 9000")
+def alias_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"))
+    e = engine(spark, sf_dir, customer2=c, supplier2=s)
+    e.alias("accounts", "customer2", "supplier2")
+    return e.matches("accounts", {"range": {"bal": {"gt": 9000}}}).select(F.regexp_replace("_index", "2", "").alias("idx"), "id")
+
+
+@enter("q_percolate", f"SELECT doc_id AS id, 'both' AS query_id FROM documents WHERE list_has_all({TOKS}, ['the', 'of']) UNION ALL SELECT doc_id, 'french' FROM documents WHERE lang = 'fr'")
+def percolate(spark, sf_dir):
+    e = Engine(spark)
+    e.register_query("g", "both", {"match": {"text": {"query": "the of", "operator": "and"}}})
+    e.register_query("g", "french", {"term": {"lang": "fr"}})
+    return e.percolate("g", table(spark, sf_dir, "documents"), KEYWORDS | SIMPLE, "doc_id")
+
+
+@enter("q_highlight")
+def highlighted(spark, sf_dir):
+    d = engine(spark, sf_dir, "documents").matches("documents", {"match": {"text": "thing"}}).orderBy("doc_id").limit(20)
+    return d.select("doc_id", highlight.highlight(F.col("text"), ["thing"])[0].alias("fragment"))
+
+
+@enter("q_synonyms", f"SELECT doc_id FROM documents WHERE list_has_any({TOKS}, ['und', 'and', 'et'])")
+def synonyms(spark, sf_dir):
+    e = engine(spark, sf_dir, "documents")
+    e.indexes["documents"].synonyms = {"und": ["and", "et"]}
+    return e.matches("documents", {"match": {"text": "und"}}).select("doc_id")
+
+
+@enter("q_dates", "SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS day FROM orders")
+def parsed_dates(spark, sf_dir):
+    text = F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(dates.parse(text, "%d/%m/%Y %H:%M"), "yyyyMMdd").cast("long").alias("day"))
+
+
+@enter("q_script_fields", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' ELSE lower(o_orderstatus) END AS label, round(o_totalprice * 1.19, 0) AS gross FROM orders WHERE o_orderstatus = 'P'")
+def script_fields(spark, sf_dir):
+    d = engine(spark, sf_dir, "orders").matches("orders", {"term": {"o_orderstatus": "P"}})
+    return d.select("o_orderkey", script.expression("if (doc['o_totalprice'].value > 200000) { return 'big'; } else { return doc['o_orderstatus'].value.toLowerCase(); }").alias("label"), F.round(script.expression("doc.o_totalprice.value * 1.19"), 0).alias("gross"))
+
+
+@enter("q_json_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) >= 50")
+def json_path(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return engine(spark, sf_dir, props=d).matches("props", {"range": {"k": {"gte": 50}}})
+
+
+@enter("q_upsert_delete", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS bal FROM customer WHERE c_custkey % 7 <> 0")
+def upsert_delete(spark, sf_dir):
+    e = engine(spark, sf_dir, "customer")
+    new = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0.0))
+    e.upsert("customer", new)
+    i = e.resolve("customer")
+    i.df = i.df.where(~q.ScriptFilter({"script": "doc.c_custkey.value % 7 == 0"}["script"]).pred(e.context(i)))
+    return i.df.select("c_custkey", F.col("c_acctbal").alias("bal"))
+
+
+@enter("q_conversations_nested", "SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND turn >= 2")
+def conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
+    e = Engine(spark)
+    e.create_index("talks", rows, {"turns.role": {"type": "keyword"}}, "conv_id")
+    return e.matches("talks", {"nested": {"path": "turns", "query": {"bool": {"must": [{"term": {"turns.role": "user"}}, {"range": {"turns.turn": {"gte": 2}}}]}}}}).select("conv_id")
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

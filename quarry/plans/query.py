@@ -506,10 +506,15 @@ class Phrase(Query):
                 return reduce(lambda a, b: a | b, (F.levenshtein(x, F.lit(t), self.fuzziness) >= 0 for t in s))
             return x.isin(s)
 
-        at = F.sequence(F.lit(1), F.size(toks) - n + 1)
-        here = lambda i: reduce(lambda a, b: a & b, (fits(F.element_at(toks, i + k), k) for k in range(n)))
         # the terms themselves first: they are cheaper than positions
         holds = reduce(lambda a, b: a & b, (F.arrays_overlap(toks, F.array(*map(F.lit, s))) for k, s in enumerate(slots) if s and not self.fuzziness and not (self.prefix_last and k == n - 1)), F.lit(True))
+        if all(len(s) == 1 for s in slots) and not self.fuzziness and not self.prefix_last:
+            # tokens hold no separator, so adjacency is a substring of the joined tokens
+            sep = "\x1f"
+            line = F.concat(F.lit(sep), F.array_join(toks, sep), F.lit(sep))
+            return _safe(holds & line.contains(sep + sep.join(s[0] for s in slots) + sep))
+        at = F.sequence(F.lit(1), F.size(toks) - n + 1)
+        here = lambda i: reduce(lambda a, b: a & b, (fits(F.element_at(toks, i + k), k) for k in range(n)))
         return _safe(holds & (F.size(toks) >= n) & F.when(F.size(toks) >= n, F.exists(at, here)))
 
     def score(self, ctx, norm):
