@@ -165,7 +165,7 @@ def composite_frame(ctx: q.Context, df: DataFrame, spec: dict, subs: dict) -> Da
         later, same = F.lit(False), F.lit(True)
         for n, _ in sources:
             c, a = F.col(n).cast("string"), spec["after"].get(n)
-            a = None if a is None else str(a)
+            a = None if a is None else q._text(a)
             later = later | (same & (c.isNotNull() if a is None else F.coalesce(c > a, F.lit(False))))
             same = same & c.eqNullSafe(F.lit(a))
         out = out.where(later)

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -421,8 +422,6 @@ class IpRange(Query):
         c = ctx.col(self.field)
         if net.version == 4:
             return _safe(geo.ip_number(c).between(int(net.network_address), int(net.broadcast_address)))
-        import pandas as pd
-
         @F.pandas_udf("boolean")
         def inside(s: pd.Series) -> pd.Series:
             def one(v):
