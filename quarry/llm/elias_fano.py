@@ -23,7 +23,7 @@ class EliasFano:
         parts = v >> np.uint64(bits)
         packed = []
         if bits:
-            step = 1 << 19  # a multiple of 8: parts end at whole bytes
+            step = 1 << 15  # a multiple of 8: parts end at whole bytes
             for a in range(0, n, step):
                 x = v[a : a + step]
                 packed.append(np.packbits(((x[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little"))

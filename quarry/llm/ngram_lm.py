@@ -38,10 +38,10 @@ from .elias_fano import EliasFano, save_array
 DISCOUNT = 0.75
 QUANTA = 65_535
 LOWEST = 12.0
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 SHARD_WORDS = 1_000_000
 #: Tokens that a task counts or scores at a time.
-TOKENS = 1_000_000
+TOKENS = 200_000
 END = b" "  # no word holds a space
 
 
@@ -83,7 +83,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for held, *_ in documents(batches, 0):
             seen.update(held)
-            if len(seen) > 400_000:
+            if len(seen) > 200_000:
                 yield out()
                 seen = Counter()
         if seen:
@@ -230,16 +230,16 @@ def count_pairs(docs: DataFrame, root: str) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             key, c = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
             s = shard_of(words, key >> 32, key & 0xFFFFFFFF)
-            for a in range(0, len(key), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 500_000]) for x in (s, key, c)], names=["s", "key", "c"])
+            for a in range(0, len(key), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (s, key, c)], names=["s", "key", "c"])
 
         for held, *_ in documents(batches, 0):
             ids = encoded(words, held)
             waiting.append(contexts(ids, int(ids[-1])) << 32 | ids)
-            if sum(map(len, waiting)) > 4 * TOKENS:
+            if sum(map(len, waiting)) > 8 * TOKENS:
                 yield from out()
-                waiting = []
         if waiting:
             yield from out()
 
@@ -284,8 +284,8 @@ def write_pairs(pairs: DataFrame, root: str) -> None:
                     yield build(now, np.concatenate(keys), np.concatenate(counts))
                     keys, counts = [], []
                 now = int(s[a])
-                keys.append(key[a:b])
-                counts.append(c[a:b])
+                keys.append(key[a:b].copy())
+                counts.append(c[a:b].astype(np.int32))
         if keys:
             yield build(now, np.concatenate(keys), np.concatenate(counts))
 
