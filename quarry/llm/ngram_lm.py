@@ -20,6 +20,7 @@ gives an empty result; extra columns are ignored. Words are told apart by 64-bit
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections import Counter
@@ -38,7 +39,7 @@ from .elias_fano import EliasFano, save_array
 DISCOUNT = 0.75
 QUANTA = 65_535
 LOWEST = 12.0
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 SHARD_WORDS = 1_000_000
 #: Tokens that a task counts or scores at a time.
 TOKENS = 200_000
@@ -56,6 +57,15 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return np.array([h(w) for w in words], dtype=np.uint64)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that a worker's peak isn't kept for its life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
     """Runs of about TOKENS tokens: the tokens, the rows (batch-wise) and their numbers of tokens."""
     for batch in batches:
@@ -70,6 +80,7 @@ def documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
                 held, rows, sizes = [], [], []
         if rows:
             yield held, rows, sizes, batch
+        tidy()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -283,6 +294,7 @@ def write_pairs(pairs: DataFrame, root: str) -> None:
                 if now is not None and s[a] != now:
                     yield build(now, np.concatenate(keys), np.concatenate(counts))
                     keys, counts = [], []
+                    tidy()
                 now = int(s[a])
                 keys.append(key[a:b].copy())
                 counts.append(c[a:b].astype(np.int32))

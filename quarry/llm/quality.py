@@ -91,8 +91,9 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def binomial_cdf(n: str, x: str, p: float) -> Column:
     """P(Bin(n, p) <= x), summed term by term from the logarithm of the first."""
-    step = f"a.t + ln(({n} - k + 1) / k) + ln({p} / (1 - {p}))"
-    first = f"{n} * ln(1 - {p})"
+    p, q = f"{p}D", f"{1 - p!r}D"
+    step = f"a.t + ln(double({n} - k + 1) / k) + ln({p} / {q})"
+    first = f"{n} * ln({q})"
     return F.expr(f"CASE WHEN {x} = 0 THEN exp({first}) ELSE least(1D, aggregate(sequence(1L, {x}), struct(double({first}) AS t, double(exp({first})) AS s), (a, k) -> struct(double({step}) AS t, double(a.s + exp({step})) AS s), a -> a.s)) END")
 
 
@@ -113,7 +114,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     )
     m = F.broadcast(strata.agg(F.count(F.lit(1)).alias("m")))  # one row
     p = [binomial_cdf("n", f"x{t}", alpha) for t in range(len(LEVELS))]
-    passed = tested.crossJoin(m).select("stratum", "m", F.array(*p).alias("p")).withColumn("ok", F.expr(f"transform(p, v -> v <= {delta} / m)"))
+    passed = tested.crossJoin(m).select("stratum", "m", F.array(*p).alias("p")).withColumn("ok", F.expr(f"transform(p, v -> v <= {delta}D / m)"))
     level = passed.select("stratum", F.expr("coalesce(nullif(array_position(ok, false), 0), size(ok) + 1) - 2").cast("int").alias("level")).where("level >= 0")
     return level.join(marks, "stratum").select("stratum", *(F.expr(f"c_{r}[level]").alias(f"c_{r}") for r in RULES))
 
