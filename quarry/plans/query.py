@@ -98,8 +98,9 @@ class Context:
         return self.analyzer(f)(F.coalesce(c, F.lit("")))
 
     def terms(self, f: str, text: str) -> list[str]:
-        """Analyses query text on the driver's side by evaluating the analyzer's expression on a literal."""
-        return self.df.sparkSession.range(1).select(self.analyzer(f)(F.lit(text)).alias("t")).first().t or []
+        """Analyses query text: the analyzer's expression over a local row, which the optimizer evaluates without a job."""
+        row = self.df.sparkSession.sql("SELECT * FROM VALUES (1) AS one(x)")
+        return row.select(self.analyzer(f)(F.lit(text)).alias("t")).first().t or []
 
 
 class Query:
