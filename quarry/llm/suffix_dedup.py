@@ -296,3 +296,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     check_columns(docs, "doc_id", "text")
     return removed(numbered(docs.select("doc_id", "text")), ["doc_id"], "kept_sha256")
+
+
+#: The same rows by counting every window; DuckDB.
+OP10_SQL = """
+WITH n AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, i, md5(t[i + 1:i + 200]) AS k FROM (SELECT rid, t, unnest(range(0, greatest(0, n - 199))) AS i FROM n)),
+s AS (SELECT rid, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
+p AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS grp FROM g) GROUP BY rid, grp),
+q AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS z FROM p),
+r AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(CASE WHEN a > z THEN hex(t[z + 1:a]) ELSE '' END, '' ORDER BY a) AS head FROM q JOIN n USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head || CASE WHEN n > last THEN hex(t[last + 1:n]) ELSE '' END, hex(t)))) AS kept_sha256 FROM n LEFT JOIN r USING (rid)
+"""
