@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import check_columns, load, materialize, word_count, words_of
+from .common import check_columns, load, materialize, numbered, word_count, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -78,7 +78,7 @@ def coded(keys: DataFrame) -> DataFrame:
     key = -F.log(u) / F.col("_w")
     # 1 - exp(-key) rises with the key and spreads it over [0, 1); 32 bits of it, 16 of the content, 15 of the row
     spread = F.least(F.floor((1 - F.exp(-key)) * float(1 << 32)), F.lit((1 << 32) - 1)).cast("long")
-    row = F.monotonically_increasing_id()
+    row = F.xxhash64("_f", "_r") if "_f" in keys.columns else F.monotonically_increasing_id()
     code = F.shiftleft(spread, 31).bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64("_h"), 48), 15)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(row), 49))
     return keys.withColumn("_rid", row).withColumn("_c", code).drop("_w", "_h")
 
@@ -152,18 +152,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, the one at a budget's end cut to the words taken.
 
-    docs must be a stored table: row numbers are taken from its scan twice. Texts aren't shuffled unless the
-    boundary rows outgrow a broadcast.
+    Rows are named by file and place, so that the two scans of a stored table agree. Texts aren't shuffled unless
+    the boundary rows outgrow a broadcast.
     """
     cols = docs.columns
-    docs = docs.select(*(F.col(c).alias(f"_in_{c}") for c in cols), *(F.col(c) for c in ("doc_id", "text", "source")))
+    docs = numbered(docs).select(*(F.col(c).alias(f"_in_{c}") for c in cols), *(F.col(c) for c in ("doc_id", "text", "source", "_f", "_r")))
     rows = coded(mix_keys(docs))
-    thin = materialize(rows.select("_source", "size", "_rid", "_c"), "mix")
+    thin = materialize(rows.select("_source", "size", "_rid", "_c", "_f", "_r"), "mix")
     at, shift = mix_plan(thin)
-    edge = materialize(boundary(thin, at, shift).select("_rid", F.col("_part").alias("_edge")), "edge")
+    edge = materialize(boundary(thin, at, shift).select("_f", "_r", F.col("_part").alias("_edge")), "edge")
     here = _bits(F.col("_c"), shift)
     part = F.coalesce("_edge", F.when(here < F.col("_prefix"), F.col("size")), F.lit(0))
-    taken = rows.join(at, "_source").join(edge, "_rid", "left").withColumn("_taken", F.col("_epochs") * F.col("size") + part).where("_taken > 0")
+    taken = rows.join(at, "_source").join(edge, ["_f", "_r"], "left").withColumn("_taken", F.col("_epochs") * F.col("size") + part).where("_taken > 0")
     copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("size")).cast("int") - 1)))
     left = F.col("_taken") - F.col("_copy") * F.col("size")
     text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), 1, F.least(left, F.col("size")).cast("int")), " "))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, load, materialize
+from .common import check_columns, load, materialize, numbered
 from .components import components
 
 SHINGLE = 3
@@ -170,11 +170,11 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest doc_id. docs must be a stored table: its rows are numbered in two scans."""
+    """One document of each component: that of the smallest doc_id. Rows are named by file and place, so the two scans agree."""
     cols = docs.columns
-    rows = docs.select(*(F.col(c) for c in cols), F.monotonically_increasing_id().alias("_rid"))
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rid").alias("_who"), "text")
+    rows = numbered(docs)
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_f", "_r").alias("_who"), "text")
     fps = materialize(fingerprints(keyed, "_who"), "fingerprints")
     lows = materialize(fps.groupBy("fp").agg(F.min("_who").alias("low")), "classes")
-    kept = materialize(grouped(lows).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low._rid").alias("_rid")), "kept")
-    return rows.join(kept, "_rid", "left_semi").select(*cols)
+    kept = materialize(grouped(lows).groupBy("root").agg(F.min("low").alias("low")).select("low._f", "low._r"), "kept")
+    return rows.join(kept, ["_f", "_r"], "left_semi").select(*cols)
