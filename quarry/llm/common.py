@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
@@ -90,6 +92,28 @@ def side_rows(path: str, file: int, first: int, last: int) -> pa.Table | None:
     return pads.dataset(folder, filesystem=fs, format="parquet").to_table(filter=where).sort_by("_r")
 
 
+def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows (numbered) that kept (_f, _r) names, with columns. Only names move: the rows stay in their scan, whatever their size."""
+    path = side_table(kept.select("_f", "_r"), "kept")
+    schema = rows.select(*columns).schema
+    n = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, r = batch.column(n).to_numpy(), batch.column(n + 1).to_numpy()
+            mask = np.zeros(len(r), bool)
+            for x in np.unique(f):
+                own = f == x
+                found = side_rows(path, int(x), int(r[own].min()), int(r[own].max()))
+                if found is not None:
+                    mask[own] = np.isin(r[own], found.column("_r").to_numpy())
+            if mask.any():
+                out = batch.filter(pa.array(mask))
+                yield pa.RecordBatch.from_arrays(out.columns[:n], names=schema.names)
+
+    return rows.select(*columns, "_f", "_r").mapInArrow(run, schema)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

@@ -301,7 +301,8 @@ def write_pairs(pairs: DataFrame, root: str) -> None:
         if keys:
             yield build(now, np.concatenate(keys), np.concatenate(counts))
 
-    made = materialize(pairs.repartition("s").sortWithinPartitions("s").mapInArrow(run, "s long, lo long, hi long, u long, t long"), "contexts")
+    tasks = min(20_000, 2 * words_at(root).meta["shards"])  # about a shard each: what a task sorts stays small
+    made = materialize(pairs.repartition(tasks, "s").sortWithinPartitions("s").mapInArrow(run, "s long, lo long, hi long, u long, t long"), "contexts")
     spans = sorted(tuple(r) for r in made.select("s", "lo", "hi").distinct().collect())  # one row a shard
     with open(f"{root}/shards.json", "w") as f:
         json.dump(spans, f)

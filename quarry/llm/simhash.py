@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, load, materialize, numbered
+from .common import check_columns, keep_rows, load, materialize, numbered
 from .components import components
 
 SHINGLE = 3
@@ -176,5 +176,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_f", "_r").alias("_who"), "text")
     fps = materialize(fingerprints(keyed, "_who"), "fingerprints")
     lows = materialize(fps.groupBy("fp").agg(F.min("_who").alias("low")), "classes")
-    kept = materialize(grouped(lows).groupBy("root").agg(F.min("low").alias("low")).select("low._f", "low._r"), "kept")
-    return rows.join(kept, ["_f", "_r"], "left_semi").select(*cols)
+    kept = grouped(lows).groupBy("root").agg(F.min("low").alias("low")).select("low._f", "low._r")
+    return keep_rows(rows, kept, cols)

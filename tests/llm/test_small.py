@@ -127,6 +127,18 @@ def test_simhash(spark, home):
             assert r.component_id == root[r.doc_id]
 
 
+def test_one_document_of_each_group_stays(spark, home):
+    docs = spark.read.parquet(f"{home}/full/documents.parquet")
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    roots = {r.doc_id: r.component_id for r in rows_of(spark, home, "op3_simhash_groups") if r.doc_id is not None}
+    got = out.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(set(roots.values()))
+    texts = {r[0]: r[1] for r in table()}
+    assert all(r.text == texts[r.doc_id] for r in got)
+    assert simhash.deduplicate(spark.read.parquet(f"{home}/empty/documents.parquet")).collect() == []
+
+
 def test_links_within_lists():
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(30)]
