@@ -232,28 +232,28 @@ def dictionary(docs: DataFrame, pieces: Pieces) -> str:
 
 
 @lru_cache(maxsize=2)
-def dictionary_at(path: str) -> dict[str, list[int]]:
+def dictionary_at(path: str) -> dict[str, bytes]:
     fs, root = (pafs.LocalFileSystem(), posix(path)) if "://" not in path or path.startswith("file:") else pafs.FileSystem.from_uri(path)
     t = pads.dataset(root, filesystem=fs, format="parquet").to_table()
-    return dict(zip(t.column("word").to_pylist(), t.column("ids").to_pylist()))
+    return {w: np.array(ids, np.int32).tobytes() for w, ids in zip(t.column("word").to_pylist(), t.column("ids").to_pylist())}
 
 
 class Known(dict):
-    """The dictionary, with a bounded memory of words folded since."""
+    """The dictionary (ids as the bytes of 32-bit numbers), with a bounded memory of words folded since."""
 
-    def __init__(self, pieces: Pieces, table: dict[str, list[int]]) -> None:
+    def __init__(self, pieces: Pieces, table: dict[str, bytes]) -> None:
         super().__init__(table)
         self.fold, self.most = pieces.fold, len(table) + 100_000
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.fold(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.fold(word), np.int32).tobytes()
         if len(self) < self.most and len(word) <= LATTICE_CHARS:
             self[word] = ids
         return ids
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """docs without text, with ids (the whole text's pieces) and decoded_sha256 (of the text that they decode to)."""
+    """docs without text, with ids (the whole text's pieces) and decoded_sha256 (of the bytes that they decode to)."""
     path = dictionary(docs, pieces)
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*keep, F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded_sha256")).schema
@@ -265,11 +265,12 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 batch = whole.slice(a, 512)
                 sizes, shas, flat = [0], [], []
                 for t in batch.column(len(keep)):
-                    ids = list(chain.from_iterable(map(known.__getitem__, pieces.split(t.as_py()))))
-                    shas.append(hashlib.sha256(pieces.decode(ids).encode("utf-8", "replace")).hexdigest())
-                    flat.append(np.array(ids, np.int32))
-                    sizes.append(sizes[-1] + len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+                    ids = b"".join(map(known.__getitem__, pieces.split(t.as_py())))
+                    raw = b"".join(map(pieces.raw.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+                    shas.append(hashlib.sha256(raw[1:] if raw.startswith(b" ") else raw).hexdigest())
+                    flat.append(ids)
+                    sizes.append(sizes[-1] + len(ids) // 4)
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, pa.array(shas, pa.string())], names=schema.names)
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
