@@ -12,7 +12,7 @@ A fingerprint has at most 2080 neighbours in two bits, which bounds the links.
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and is linked like any other;
 fewer than three words make one shingle; equal fingerprints always share a component; null ids take part but
 name a component only if it has no other id (then null); an empty table gives an empty result; repeated rows
-are all reported; extra columns are ignored (query) or kept (`deduplicate`).
+are all reported; extra columns are ignored. The pipeline's near-duplicate stage has its own measure (`near_copies`).
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, keep_rows, load, materialize, numbered
+from .common import check_columns, load, materialize
 from .components import components
+from .near_copies import deduplicate as deduplicate
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -167,14 +168,3 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     of = materialize(classes.join(named, "root").select("fp", "component_id"), "named")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest doc_id. Rows are named by file and place, so the two scans agree."""
-    cols = docs.columns
-    rows = numbered(docs)
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_f", "_r").alias("_who"), "text")
-    fps = materialize(fingerprints(keyed, "_who"), "fingerprints")
-    lows = materialize(fps.groupBy("fp").agg(F.min("_who").alias("low")), "classes")
-    kept = grouped(lows).groupBy("root").agg(F.min("low").alias("low")).select("low._f", "low._r")
-    return keep_rows(rows, kept, cols)

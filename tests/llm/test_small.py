@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import ann, langid, mixing, ngram_lm, pii, quality, registry, sentencepieces, sharding, simhash, suffix_dedup
+from quarry.llm import ann, langid, mixing, near_copies, ngram_lm, pii, quality, registry, sentencepieces, sharding, simhash, suffix_dedup
 from quarry.llm.elias_fano import EliasFano
 from quarry.llm.suffixes import permuted_lcp, suffix_array
 
@@ -378,3 +378,25 @@ def test_unknown_words_only(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     root = ngram_lm.train(d.where("false"))
     assert ngram_lm.scored(d, root).first().score == 0.0
+
+
+def test_near_copies_of_four_fifths_go(spark, tmp_path):
+    r = random.Random(6)
+    shared = text(r, 12)
+    rows = [(i, f"{shared} {text(r, r.randint(20, 90))}") for i in range(40)]
+    for i in range(40):  # copies with a few words changed, on both sides of the limit
+        w = rows[i][1].split()
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = "changed"
+        rows.append((100 + i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    far = sum((fingerprint(dict(rows)[a]) ^ fingerprint(dict(rows)[b])).bit_count() > 2 for a, b in near)
+    assert far > 5 and len(near) < 35
+    root = {i: i for i in sets}
+    for _ in near:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    got = near_copies.deduplicate(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(root.values()))
