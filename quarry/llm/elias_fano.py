@@ -8,6 +8,13 @@ import os
 import numpy as np
 
 
+#: The place of the n-th set bit of a byte.
+NTH = np.zeros((256, 8), np.int64)
+for _b in range(256):
+    _set = [k for k in range(8) if _b >> k & 1]
+    NTH[_b, : len(_set)] = _set
+
+
 class EliasFano:
     """A non-decreasing sequence: high parts in unary, low parts packed to a fixed number of bits."""
 
@@ -63,10 +70,13 @@ class EliasFano:
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
         w = np.searchsorted(directory, k.astype(directory.dtype), side="right") - 1
         words = self.high[np.minimum(w, len(self.high) - 1)]
-        bits = np.unpackbits(np.ascontiguousarray(~words if flip else words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        nth = np.cumsum(bits, axis=1, dtype=np.uint8)
-        inside = (nth <= (k - directory[np.minimum(w, len(directory) - 1)].astype(np.int64))[:, None].astype(np.uint8)).sum(axis=1)
-        return w * 64 + inside
+        parts = np.ascontiguousarray(~words if flip else words).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+        left = (k - directory[np.minimum(w, len(directory) - 1)].astype(np.int64)).astype(np.uint8)
+        at = (upto <= left[:, None]).sum(axis=1)
+        rows, byte = np.arange(len(at)), np.minimum(at, 7)
+        left = left - np.where(byte > 0, upto[rows, byte - 1], 0)
+        return w * 64 + np.where(at < 8, byte * 8 + NTH[parts[rows, byte], np.minimum(left, 7)], 64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)

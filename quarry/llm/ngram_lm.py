@@ -1,16 +1,20 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Level 1 holds the words of the training documents, named by the rank of their 64-bit hash, with counts and
-back-off weights; level 2 holds every word pair. The children of a context follow those of the context
+back-off weights; level 2 holds every word pair, and level 3 every word triple. The children of a context follow those of the context
 before it; monotone Elias-Fano pointers bound them, and their ids, offset by the last value before the
 context's first child, form one Elias-Fano sequence, in which a successor search relative to the context finds
 a child. Next to it stand the discounted probabilities, quantised in log space to QUANTA levels.
 
     p(w | u) = max(c(uw) - D, 0) / c(u) + D T(u) / c(u) p(w),  p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-with T(u) the number of distinct successors of u and D the discount; an unknown context leaves p(w). Levels are
-cut into shards of about SHARD_TOKENS training tokens by a position that rises with (u, w), hot contexts
-included; each shard is a set of memory-mapped files in the shared folder, which scoring tasks map as they
+    p(w | t u) = max(c(tuw) - D, 0) / c(tu) + D T(tu) / c(tu) p(w | u)
+
+with T the number of distinct successors of a context and D the discount; an unknown context leaves the shorter one.
+score is the sum of log10 p(w | u), score_3 that of log10 p(w | t u); before a text stands one end, so its first word
+has a context of one. Levels are cut into shards of about SHARD_TOKENS training tokens by a position that rises with
+(u, w), hot contexts included; the triples of a pair lie in its shard, under its place there. Pairs are counted as
+the triples that they begin. Each shard is a set of memory-mapped files in the shared folder, which scoring tasks map as they
 need them. Everything is counted over all training documents, map-side first; nothing is pruned.
 
 Defined cases: a null text is empty and scores its end token; with no training document N = V = 0 and
@@ -232,77 +236,100 @@ def contexts(ids: np.ndarray, end: int) -> np.ndarray:
     return np.r_[end, ids[:-1]]
 
 
-def count_pairs(docs: DataFrame, root: str) -> DataFrame:
-    """(s, key, c): shard, pair u << 32 | w, and its count within a run of tokens."""
+def count_triples(docs: DataFrame, root: str) -> DataFrame:
+    """(s, key, w, c): shard, pair u << 32 | v, the word after it, and their count within a run of tokens; w is -1 where v ends a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_at(root)
-        waiting: list[np.ndarray] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, c = np.unique(np.concatenate(waiting), return_counts=True)
+            key, w = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
-            s = shard_of(words, key >> 32, key & 0xFFFFFFFF)
+            order = np.lexsort((w, key))
+            key, w = key[order], w[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (w[1:] != w[:-1])])
+            c = np.diff(np.r_[first, len(key)]).astype(np.int32)
+            key, w = key[first], w[first]
+            s = shard_of(words, key >> 32, key & 0xFFFFFFFF).astype(np.int32)
             for a in range(0, len(key), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (s, key, c)], names=["s", "key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (s, key, w, c)], names=["s", "key", "w", "c"])
 
         for held, *_ in documents(batches, 0):
             ids = encoded(words, held)
-            waiting.append(contexts(ids, int(ids[-1])) << 32 | ids)
-            if sum(map(len, waiting)) > 8 * TOKENS:
+            end = int(ids[-1])
+            after = np.r_[ids[1:], -1].astype(np.int32)
+            after[ids == end] = -1
+            waiting.append((contexts(ids, end) << 32 | ids, after))
+            if sum(len(x) for x, _ in waiting) > 5 * TOKENS:
                 yield from out()
         if waiting:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "s long, key long, c long")
+    return docs.select("text").mapInArrow(run, "s int, key long, w int, c int")
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(p) * (QUANTA / LOWEST)), 0, QUANTA).astype(np.uint16)
 
 
-def write_pairs(pairs: DataFrame, root: str) -> None:
-    """Writes level 2 and the back-off weights of level 1."""
+def probability(level: np.ndarray) -> np.ndarray:
+    return 10.0 ** (-level.astype(np.float64) * (LOWEST / QUANTA))
+
+
+def sequence(size: np.ndarray, w: np.ndarray, path: str, s: int) -> None:
+    """Writes the children w of contexts with so many of them each; a context starts where the one before ended."""
+    ends = np.cumsum(size)
+    have = np.flatnonzero(size)
+    last = np.r_[0, np.cumsum(w[ends[have] - 1].astype(np.int64) + 1)]
+    EliasFano.build(np.r_[0, ends]).save(f"{path}/pointers-{s}")
+    EliasFano.build(np.repeat(last[:-1], size[have]) + w).save(f"{path}/children-{s}")
+
+
+def write_levels(triples: DataFrame, root: str) -> None:
+    """Writes levels 2 and 3 and the back-off weights of level 1."""
+    os.makedirs(f"{root}/3", exist_ok=True)
 
-    def build(s: int, key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    def build(s: int, key: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         words = words_at(root)
-        order = np.argsort(key, kind="stable")
-        key, c = key[order], c[order]
+        order = np.lexsort((w, key))
+        key, w, c = key[order], w[order], c[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (w[1:] != w[:-1])])
+        key, w, c = key[first], w[first], np.add.reduceat(c, first, dtype=np.int64)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        key, c = key[first], np.add.reduceat(c, first)
-        u, w = key >> 32, key & 0xFFFFFFFF
+        pair, total = key[first], np.add.reduceat(c, first)
+        size = np.add.reduceat((w >= 0).astype(np.int64), first)
+        inner = w >= 0
+        sequence(size, w[inner], f"{root}/3", s)
+        save_array(f"{root}/3/probabilities-{s}.npy", quantise((np.maximum(c - DISCOUNT, 1e-9) / np.repeat(total, np.diff(np.r_[first, len(key)])))[inner]))
+        save_array(f"{root}/3/backoff-{s}.npy", quantise(np.where(size > 0, DISCOUNT * size / total, 1.0)))
+        u, v = pair >> 32, pair & 0xFFFFFFFF
         head = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
         have, size = u[head], np.diff(np.r_[head, len(u)])
-        lo, hi = int(have[0]), int(have[-1])
-        ends = np.zeros(hi - lo + 2, np.int64)
-        ends[have - lo + 1] = size
-        pointers = np.cumsum(ends)
-        last = np.r_[0, np.cumsum(w[np.r_[head[1:], len(w)] - 1] + 1)]  # a context starts where the one before ended
-        base = np.repeat(last[:-1], size)
-        EliasFano.build(pointers).save(f"{root}/pointers-{s}")
-        EliasFano.build(base + w).save(f"{root}/children-{s}")
-        save_array(f"{root}/probabilities-{s}.npy", quantise(np.maximum(c - DISCOUNT, 1e-9) / words.get("count", u)))
+        sizes = np.zeros(int(have[-1] - have[0]) + 1, np.int64)
+        sizes[have - have[0]] = size
+        sequence(sizes, v, root, s)
+        save_array(f"{root}/probabilities-{s}.npy", quantise(np.maximum(total - DISCOUNT, 1e-9) / words.get("count", u)))
         n = len(have)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, s)), pa.array(np.full(n, key[0])), pa.array(np.full(n, key[-1])), pa.array(have), pa.array(size)], names=["s", "lo", "hi", "u", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, s)), pa.array(np.full(n, pair[0])), pa.array(np.full(n, pair[-1])), pa.array(have), pa.array(size)], names=["s", "lo", "hi", "u", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+        now, held = None, []
         for batch in batches:
-            s, key, c = (batch.column(i).to_numpy() for i in range(3))
+            s, *rest = (batch.column(i).to_numpy() for i in range(4))
             cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else []
             for a, b in zip(cuts, np.r_[cuts[1:], len(s)].astype(int)):
                 if now is not None and s[a] != now:
-                    yield build(now, np.concatenate(keys), np.concatenate(counts))
-                    keys, counts = [], []
+                    yield build(now, *map(np.concatenate, zip(*held)))
+                    held = []
                     tidy()
                 now = int(s[a])
-                keys.append(key[a:b].copy())
-                counts.append(c[a:b].astype(np.int32))
-        if keys:
-            yield build(now, np.concatenate(keys), np.concatenate(counts))
+                held.append([x[a:b].copy() for x in rest])
+        if held:
+            yield build(now, *map(np.concatenate, zip(*held)))
 
     tasks = min(20_000, 2 * words_at(root).meta["shards"])  # about a shard each: what a task sorts stays small
-    made = materialize(pairs.repartition(tasks, "s").sortWithinPartitions("s").mapInArrow(run, "s long, lo long, hi long, u long, t long"), "contexts")
+    made = materialize(triples.repartition(tasks, "s").sortWithinPartitions("s").mapInArrow(run, "s long, lo long, hi long, u long, t long"), "contexts")
     spans = sorted(tuple(r) for r in made.select("s", "lo", "hi").distinct().collect())  # one row a shard
     with open(f"{root}/shards.json", "w") as f:
         json.dump(spans, f)
@@ -340,29 +367,57 @@ class Trie:
         self.names = [s[0] for s in spans]
         self.firsts = np.array([s[1] for s in spans], np.int64)
 
-    @lru_cache(maxsize=128)  # noqa: B019
-    def shard(self, s: int) -> tuple[EliasFano, EliasFano, np.ndarray]:
-        return EliasFano.load(f"{self.root}/pointers-{s}"), EliasFano.load(f"{self.root}/children-{s}"), np.load(f"{self.root}/probabilities-{s}.npy", mmap_mode="r")
+    @lru_cache(maxsize=256)  # noqa: B019
+    def shard(self, s: int, level: int = 2) -> tuple[EliasFano, EliasFano, np.ndarray]:
+        root = self.root if level == 2 else f"{self.root}/{level}"
+        return EliasFano.load(f"{root}/pointers-{s}"), EliasFano.load(f"{root}/children-{s}"), np.load(f"{root}/probabilities-{s}.npy", mmap_mode="r")
 
-    def pair(self, key: np.ndarray) -> np.ndarray:
-        """Discounted probabilities of sorted distinct pairs, 0 where unseen."""
-        out = np.zeros(len(key))
+    @lru_cache(maxsize=128)  # noqa: B019
+    def weights(self, s: int) -> np.ndarray:
+        return np.load(f"{self.root}/3/backoff-{s}.npy", mmap_mode="r")
+
+    @staticmethod
+    def child(pointers: EliasFano, children: EliasFano, ctx: np.ndarray, back: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words w among the children of contexts ctx[back], and whether they are there."""
+        a, b = pointers.access(ctx), pointers.access(ctx + 1)
+        if not children.n:
+            return np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+        base = np.where(a > 0, children.access(np.maximum(a - 1, 0)) + 1, 0)
+        i, hit = children.find(base[back] + w)
+        return i, hit & (i >= a[back]) & (i < b[back])
+
+    def pair(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted probabilities of sorted distinct pairs, 0 where unseen, and their nodes (shard << 32 | place), -1 where unseen."""
+        out, node = np.zeros(len(key)), np.full(len(key), -1, np.int64)
         part = np.searchsorted(self.firsts, key, side="right") - 1
         for k in np.unique(part[part >= 0]):
             at = np.flatnonzero(part == k)
             u, w = key[at] >> 32, key[at] & 0xFFFFFFFF
             pointers, children, levels = self.shard(self.names[k])
-            low = int(self.firsts[k] >> 32)
+            u = u - int(self.firsts[k] >> 32)
+            inside = u < pointers.n - 1
+            at, u, w = at[inside], u[inside], w[inside]
             ctx, back = np.unique(u, return_inverse=True)
-            inside = ctx - low < pointers.n - 1
-            c = np.where(inside, ctx - low, 0)
-            a, b = pointers.access(c), pointers.access(c + 1)
-            b = np.where(inside, b, a)
-            base = np.where(a > 0, children.access(np.maximum(a - 1, 0)) + 1, 0)
-            i, hit = children.find(base[back] + w)
-            hit &= (i >= a[back]) & (i < b[back])
-            out[at[hit]] = 10.0 ** (-levels[i[hit]].astype(np.float64) * (LOWEST / QUANTA))
-        return out
+            i, hit = self.child(pointers, children, ctx, back, w)
+            out[at[hit]] = probability(levels[i[hit]])
+            node[at[hit]] = k << 32 | i[hit]
+        return out, node
+
+    def triple(self, node: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted probabilities of words (-1: unknown) after pairs, given by their nodes, and the weights of the shorter context."""
+        seen, weight = np.zeros(len(node)), np.ones(len(node))
+        order = np.argsort(node, kind="stable")
+        part = node[order] >> 32
+        for k in np.unique(part):
+            at = order[np.searchsorted(part, k) : np.searchsorted(part, k, side="right")]
+            s = self.names[k]
+            pointers, children, levels = self.shard(s, 3)
+            weight[at] = probability(self.weights(s)[node[at] & 0xFFFFFFFF])
+            at = at[w[at] >= 0]
+            ctx, back = np.unique(node[at] & 0xFFFFFFFF, return_inverse=True)
+            i, hit = self.child(pointers, children, ctx, back, w[at])
+            seen[at[hit]] = probability(levels[i[hit]])
+        return seen, weight
 
 
 @lru_cache(maxsize=2)
@@ -375,7 +430,7 @@ def train(docs: DataFrame) -> str:
     root = posix(shared_path(docs.sparkSession, "trie"))
     n, _ = write_words(materialize(count_words(docs), "words"), root)
     if n:
-        write_pairs(count_pairs(docs, root), root)
+        write_levels(count_triples(docs, root), root)
     else:
         with open(f"{root}/shards.json", "w") as f:
             f.write("[]")
@@ -384,9 +439,9 @@ def train(docs: DataFrame) -> str:
 
 
 def scored(docs: DataFrame, root: str) -> DataFrame:
-    """docs without text, with n_tokens, n_known, train_tokens, base_score, score."""
+    """docs without text, with n_tokens, n_known, train_tokens, base_score, score, score_3."""
     keep = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
+    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.lit(0.0).alias("score_3")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_at(root)
@@ -409,11 +464,18 @@ def scored(docs: DataFrame, root: str) -> DataFrame:
             weight = np.where(u >= 0, gamma[np.minimum(at, len(distinct) - 1)], 1.0)
             both = np.flatnonzero((u >= 0) & (ids >= 0))
             key, where = np.unique(u[both] << 32 | ids[both], return_inverse=True)
-            seen = np.zeros(len(ids))
-            seen[both] = trie.pair(key)[where]
+            seen, node = np.zeros(len(ids)), np.full(len(ids), -1, np.int64)
+            found, place = trie.pair(key)
+            seen[both], node[both] = found[where], place[where]
             p = seen + weight * one
+            before = np.r_[-1, node[:-1]]
+            before[starts] = -1
+            after = np.flatnonzero(before >= 0)
+            p3 = p.copy()
+            seen, weight = trie.triple(before[after], ids[after])
+            p3[after] = seen + weight * p[after]
             sums = lambda x: np.add.reduceat(x, starts)
-            made = [np.array(sizes, np.int64), sums((ids >= 0).astype(np.int64)), np.full(len(rows), n, np.int64), sums(np.log10(one)), sums(np.log10(p))]
+            made = [np.array(sizes, np.int64), sums((ids >= 0).astype(np.int64)), np.full(len(rows), n, np.int64), sums(np.log10(one)), sums(np.log10(p)), sums(np.log10(p3))]
             own = batch.slice(rows[0], len(rows)).columns[: len(keep)]
             yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made)], names=schema.names)
 

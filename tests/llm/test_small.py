@@ -400,3 +400,32 @@ def test_near_copies_of_four_fifths_go(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
     got = near_copies.deduplicate(spark.read.parquet(f"{tmp_path}/d"))
     assert sorted(x.doc_id for x in got.collect()) == sorted(set(root.values()))
+
+
+@pytest.mark.parametrize("tokens", [1_000_000, 700])
+def test_scores_with_two_words_of_context(spark, home, monkeypatch, tokens):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", tokens)
+    docs = [(r[0], (r[1] or "").encode().lower().split() + [b" "]) for r in table()]
+    one, two, three = Counter(), Counter(), Counter()
+    for i, t in docs:
+        if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1:
+            one.update(t)
+            two.update(zip([b" ", *t[:-1]], t))
+            three.update(zip([b" ", *t[:-2]], t, t[1:]))
+    follow, follow2 = Counter(u for u, _ in two), Counter((s, u) for s, u, _ in three)
+    n, v = sum(one.values()), len(one)
+    by = dict(docs)
+    changed = 0
+    for r in rows_of(spark, home, "op9_elias_fano_scores"):
+        t, want = by[r.doc_id], 0.0
+        for k, w in enumerate(t):
+            p, u = (one[w] + 0.5) / (n + 0.5 * (v + 1)), t[k - 1] if k else b" "
+            if u in one:
+                p = max(two[u, w] - 0.75, 0) / one[u] + 0.75 * follow[u] / one[u] * p
+            s = t[k - 2] if k > 1 else b" "
+            if k and (s, u) in two:
+                p = max(three[s, u, w] - 0.75, 0) / two[s, u] + 0.75 * follow2[s, u] / two[s, u] * p
+            want += math.log10(p)
+        assert math.isclose(r.score_3, want, rel_tol=1e-3)
+        changed += abs(r.score_3 - r.score) > 1
+    assert changed > 30
