@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -18,6 +18,7 @@ from ..functions import dates, script
 from ..plans import query as q
 
 METRICS = ("avg", "sum", "min", "max", "value_count", "cardinality", "stats", "extended_stats", "percentiles")
+SINGLE = ("filter", "nested", "missing", "global")
 PIPELINES = ("bucket_script", "scripted_metric")
 
 
@@ -119,14 +120,9 @@ def bucket_frame(ctx: q.Context, df: DataFrame, kind: str, spec: dict, subs: dic
     """One row a bucket: parent keys, key, doc_count and one column a metric part, cut to the level's size."""
     parents = parents or []
     if kind == "composite":
-        return composite_frame(ctx, df, spec, subs)
+        return composite_frame(ctx, df, spec, subs, parents)
     rows = keyed(ctx, df, kind, spec, parse)
-    metrics, _, pipelines = split(subs)
-    columns = {f"{n}.{part}" if part != "value" else n: c for n, (k, s, _) in metrics.items() for part, c in metric_columns(ctx, n, k, s).items()}
-    out = rows.groupBy(*parents, F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("doc_count"), *(c.alias(n) for n, c in columns.items()))
-    for n, (k, s, _) in pipelines.items():
-        if k == "bucket_script":
-            out = out.withColumn(n, bucket_script(s))
+    out = measured(ctx, rows, [*(F.col(p) for p in parents), F.col("_key").alias("key")], subs)
     if kind == "terms":
         ((by, way),) = (spec.get("order") or {"_count": "desc"}).items()
         c = F.col({"_count": "doc_count", "_key": "key"}.get(by, f"`{by}`"))
@@ -141,6 +137,17 @@ def bucket_frame(ctx: q.Context, df: DataFrame, kind: str, spec: dict, subs: dic
     return out
 
 
+def measured(ctx: q.Context, rows: DataFrame, keys: list[Column], subs: dict) -> DataFrame:
+    """One row a bucket: keys, doc_count, a column a metric part, and bucket scripts."""
+    metrics, _, pipelines = split(subs)
+    columns = {f"{n}.{part}" if part != "value" else n: c for n, (k, s, _) in metrics.items() for part, c in metric_columns(ctx, n, k, s).items()}
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count"), *(c.alias(n) for n, c in columns.items()))
+    for n, (k, s, _) in pipelines.items():
+        if k == "bucket_script":
+            out = out.withColumn(n, bucket_script(s))
+    return out
+
+
 def bucket_script(spec: dict) -> Column:
     """A script over sibling metrics; gaps are skipped (null) or read as zero."""
     columns = {}
@@ -151,16 +158,23 @@ def bucket_script(spec: dict) -> Column:
     return script.Script(source, params | columns, None, columns).compile()
 
 
-def composite_frame(ctx: q.Context, df: DataFrame, spec: dict, subs: dict) -> DataFrame:
-    """Keys of all sources in the order of their string forms, nulls first, after the given key."""
-    sources = [(n, s["terms"]) for x in spec["sources"] for n, s in x.items()]
-    for n, s in sources:
+def composite_sources(spec: dict) -> list[tuple[str, dict]]:
+    return [(n, s["terms"]) for x in spec["sources"] for n, s in x.items()]
+
+
+def composite_rows(ctx: q.Context, df: DataFrame, spec: dict) -> DataFrame:
+    """df with a column _k_... a source."""
+    for n, s in composite_sources(spec):
         df = df.withColumn(f"_k_{n}", ctx.col(s["field"]))
         if not s.get("missing_bucket"):
             df = df.where(F.col(f"_k_{n}").isNotNull())
-    metrics, _, _ = split(subs)
-    columns = {n: c for n, (k, s, _) in metrics.items() for part, c in metric_columns(ctx, n, k, s).items() if part == "value"}
-    out = df.groupBy(*(F.col(f"_k_{n}").alias(n) for n, _ in sources)).agg(F.count(F.lit(1)).alias("doc_count"), *(c.alias(n) for n, c in columns.items()))
+    return df
+
+
+def composite_frame(ctx: q.Context, df: DataFrame, spec: dict, subs: dict, parents: list[str] | None = None) -> DataFrame:
+    """Keys of all sources in the order of their string forms, nulls first, after the given key; a page for each of the parents."""
+    sources, parents = composite_sources(spec), parents or []
+    out = measured(ctx, composite_rows(ctx, df, spec), [*(F.col(p) for p in parents), *(F.col(f"_k_{n}").alias(n) for n, _ in sources)], subs)
     if "after" in spec:
         later, same = F.lit(False), F.lit(True)
         for n, _ in sources:
@@ -169,7 +183,10 @@ def composite_frame(ctx: q.Context, df: DataFrame, spec: dict, subs: dict) -> Da
             later = later | (same & (c.isNotNull() if a is None else F.coalesce(c > a, F.lit(False))))
             same = same & c.eqNullSafe(F.lit(a))
         out = out.where(later)
-    return out.orderBy(*(F.col(n).cast("string").asc_nulls_first() for n, _ in sources)).limit(int(spec.get("size", 1000)))
+    order, size = [F.col(n).cast("string").asc_nulls_first() for n, _ in sources], int(spec.get("size", 1000))
+    if parents:
+        return out.withColumn("_rank", F.row_number().over(Window.partitionBy(*parents).orderBy(*order))).where(F.col("_rank") <= size).drop("_rank")
+    return out.orderBy(*order).limit(size)
 
 
 def top_hits(ctx: q.Context, df: DataFrame, keys: list[str], spec: dict, order: list[Column]) -> DataFrame:
@@ -201,50 +218,83 @@ def run(ctx: q.Context, df: DataFrame, aggs: dict, parse) -> dict:
             if k in ("stats", "extended_stats"):
                 out[n]["std_deviation_bounds"] = {p: out[n].pop(p) for p in ("upper", "lower")}
     for n, (kind, spec, subs) in buckets.items():
-        out[n] = _bucket_tree(ctx, df, kind, spec, subs, parse)
+        out[n] = _bucket_tree(ctx, df, kind, spec, subs, parse).get(()) or _empty(kind)
     for n, (kind, spec, _) in pipelines.items():
         if kind == "scripted_metric":
             out[n] = {"value": scripted_metric(df, spec)}
     return out
 
 
-def _bucket_tree(ctx: q.Context, df: DataFrame, kind: str, spec: dict, subs: dict, parse) -> dict:
+def _empty(kind: str) -> dict:
+    """A bucket aggregation under a parent without rows in it."""
+    if kind in SINGLE:
+        return {"doc_count": 0}
+    return {"buckets": []} | ({"sum_other_doc_count": 0} if kind == "terms" else {})
+
+
+def _plain(key: Any) -> Any:
+    return tuple(key) if isinstance(key, Row) else key
+
+
+def _hit_order(ctx: q.Context, spec: dict) -> list[Column]:
+    pairs = [(x, "asc") if isinstance(x, str) else next(iter(x.items())) for x in spec.get("sort", [])]
+    ways = [(f, w if isinstance(w, str) else w.get("order", "asc")) for f, w in pairs]
+    return [F.col(f).desc() if w == "desc" else F.col(f).asc() for f, w in ways] + [F.col(ctx.id_col).asc()]
+
+
+def _bucket_tree(ctx: q.Context, df: DataFrame, kind: str, spec: dict, subs: dict, parse, parents: tuple[str, ...] = ()) -> dict[tuple, dict]:
+    """The response of a bucket aggregation by the keys of its parents (columns of df): one grouping for all of them, and so on below."""
     metrics, nested, pipelines = split(subs)
-    rows = bucket_frame(ctx, df, kind, spec, subs, parse).collect()
-    shown = []
+    names = [n for n, _ in composite_sources(spec)] if kind == "composite" else ["key"]
+    frame = bucket_frame(ctx, df, kind, spec, subs, parse, list(parents))
+    rows = frame.collect()
+    path = lambda r: tuple(_plain(r[p]) for p in parents)
+    shown: dict[tuple, list[dict]] = {}
+    places: list[tuple[tuple, dict]] = []
     for r in rows:
         d = r.asDict()
-        names = [k for k in d if k not in ("key", "doc_count")] if kind == "composite" else []
-        b: dict[str, Any] = {"key": {k: d[k] for k in names if k not in metrics} if kind == "composite" else d["key"], "doc_count": d["doc_count"]}
-        for n, (k, _, _) in metrics.items():
+        b: dict[str, Any] = {"key": {n: d[n] for n in names} if kind == "composite" else d["key"], "doc_count": d["doc_count"]}
+        for n in metrics:
             parts = {c.split(".", 1)[1]: v for c, v in d.items() if c.startswith(f"{n}.")}
             b[n] = parts or {"value": d.get(n)}
         for n in pipelines:
             b[n] = {"value": d.get(n)}
-        shown.append(b)
-    if nested and kind != "composite":
-        inside = keyed(ctx, df, kind, spec, parse).withColumnRenamed("_key", "_parent").where(F.col("_parent").isin([b["key"] for b in shown]))
+        shown.setdefault(path(r), []).append(b)
+        places.append(((*path(r), tuple(d[n] for n in names) if kind == "composite" else d["key"]), b))
+    if nested and rows:
+        own, below = f"_p{len(parents)}", (*parents, f"_p{len(parents)}")
+        if kind == "composite":
+            inside = composite_rows(ctx, df, spec).withColumn(own, F.struct(*(F.col(f"_k_{n}").alias(n) for n in names))).drop(*(f"_k_{n}" for n in names))
+        else:
+            inside = keyed(ctx, df, kind, spec, parse).withColumnRenamed("_key", own)
+        kept = frame.select(*parents, (F.struct(*names) if kind == "composite" else F.col("key")).alias(own)).schema
+        keys = [tuple(r[p] for p in parents) + (tuple(r[n] for n in names) if kind == "composite" else r["key"],) for r in rows]
+        buckets = df.sparkSession.createDataFrame(keys, T.StructType([T.StructField(f"_s{f.name}", f.dataType) for f in kept]))
+        same = F.lit(True)
+        for p in below:
+            same = same & F.col(p).eqNullSafe(F.col(f"_s{p}"))
+        inside = inside.join(F.broadcast(buckets), same, "left_semi")
         for n, (k, s, sub) in nested.items():
             if k == "top_hits":
-                order = [F.col(f).desc() if w == "desc" else F.col(f).asc() for x in s.get("sort", []) for f, w in ((x, "asc") if isinstance(x, str) else (next(iter(x)), next(iter(x.values())) if isinstance(next(iter(x.values())), str) else next(iter(x.values())).get("order", "asc")),)] + [F.col(ctx.id_col).asc()]
-                hits = top_hits(ctx, inside, ["_parent"], s, order).orderBy("_parent", "_rank").collect()
-                for b in shown:
-                    b[n] = {"hits": [{k: v for k, v in h.asDict().items() if not k.startswith("_p") and k != "_rank"} for h in hits if h["_parent"] == b["key"]]}
+                hits: dict[tuple, list[dict]] = {}
+                for h in top_hits(ctx, inside, list(below), s, _hit_order(ctx, s)).orderBy(*below, "_rank").collect():
+                    hits.setdefault(tuple(_plain(h[p]) for p in below), []).append({c: v for c, v in h.asDict().items() if not c.startswith("_p") and c != "_rank"})
+                for at, b in places:
+                    b[n] = {"hits": hits.get(at, [])}
                 continue
-            child = bucket_frame(ctx, inside, k, s, sub, parse, ["_parent"]).collect()  # one grouping for all parents
-            for b in shown:
-                own = [r.asDict() for r in child if r["_parent"] == b["key"]]
-                b[n] = {"buckets": [{x: v for x, v in r.items() if x != "_parent"} for r in own]}
-    if kind in ("filter", "nested", "missing", "global"):
-        b = shown[0] if shown else {"doc_count": 0}
-        b.pop("key", None)
-        return b
-    out: dict[str, Any] = {"buckets": shown}
-    if kind == "composite" and shown:
-        out["after_key"] = shown[-1]["key"]
+            children = _bucket_tree(ctx, inside, k, s, sub, parse, below)
+            for at, b in places:
+                b[n] = children.get(at) or _empty(k)
+    if kind in SINGLE:
+        return {at: {x: v for x, v in b.items() if x != "key"} for at, (b,) in shown.items()}
+    out: dict[tuple, dict] = {at: {"buckets": bs} for at, bs in shown.items()}
+    if kind == "composite":
+        for at, bs in shown.items():
+            out[at]["after_key"] = bs[-1]["key"]
     if kind == "terms":
-        total = keyed(ctx, df, kind, spec, parse).count()
-        out |= {"sum_other_doc_count": total - sum(b["doc_count"] for b in shown)}
+        for r in keyed(ctx, df, kind, spec, parse).groupBy(*parents).agg(F.count(F.lit(1)).alias("n")).collect():
+            o = out.setdefault(path(r), {"buckets": []})
+            o["sum_other_doc_count"] = r["n"] - sum(b["doc_count"] for b in o["buckets"])
     return out
 
 

@@ -222,3 +222,22 @@ def test_ip(spark):
     e.create_index("ips", spark.createDataFrame([("1", "10.0.0.5"), ("2", "10.0.1.5"), ("3", "2001:db8::1"), ("4", None), ("5", "junk")], "_id string, ip string"), {"ip": {"type": "ip"}})
     assert ids(e, {"ip_range": {"ip": "10.0.0.0/24"}}, "ips") == ["1"]
     assert ids(e, {"ip_range": {"ip": "2001:db8::/32"}}, "ips") == ["3"]
+
+
+def test_three_bucket_levels(spark):
+    rows = [(str(i), "ab"[i % 2], "xyz"[i * 7 % 3], i * 5 % 4, float(i)) for i in range(40)] + [("n", None, "x", 1, 1.0)]
+    df = spark.createDataFrame(rows, "_id string, a string, b string, c int, v double")
+    made = Engine(spark)
+    made.create_index("deep", df, {f: {"type": "keyword"} for f in "ab"})
+    want = {tuple(r)[:3]: (r.n, r.s) for r in df.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()}
+    third = {"terms": {"field": "c"}, "aggs": {"s": {"sum": {"field": "v"}}, "st": {"stats": {"field": "v"}}, "top": {"top_hits": {"size": 1}}}}
+    body = {"z": {"terms": {"field": "a"}, "aggs": {"y": {"terms": {"field": "b"}, "aggs": {"x": third}}}}, "m": {"composite": {"sources": [{"a": {"terms": {"field": "a", "missing_bucket": True}}}, {"b": {"terms": {"field": "b"}}}]}, "aggs": {"x": third, "st": {"stats": {"field": "v"}}}}}
+    r = made.search("deep", {"size": 0, "aggs": body})["aggregations"]
+    leaf = lambda x: (x["doc_count"], x["s"]["value"])
+    got = {(a["key"], b["key"], c["key"]): leaf(c) for a in r["z"]["buckets"] for b in a["y"]["buckets"] for c in b["x"]["buckets"]}
+    assert got == {k: v for k, v in want.items() if k[0] is not None}
+    assert all(b["x"]["sum_other_doc_count"] == 0 for a in r["z"]["buckets"] for b in a["y"]["buckets"])
+    flat = [(m, c) for m in r["m"]["buckets"] for c in m["x"]["buckets"]]
+    assert {(m["key"]["a"], m["key"]["b"], c["key"]): leaf(c) for m, c in flat} == want
+    assert all(c["st"]["sum"] == c["s"]["value"] and len(c["top"]["hits"]) == 1 and c["top"]["hits"][0]["c"] == c["key"] for _, c in flat)
+    assert all(m["st"]["count"] == m["doc_count"] for m in r["m"]["buckets"])
