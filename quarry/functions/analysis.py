@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import reduce
 
 import pandas as pd
@@ -25,6 +26,11 @@ ANALYZERS: dict[str, Callable[[Column], Column]] = {}
 TOKEN_MAPS: dict[str, list[str]] = {}
 
 
+#: Between the elements of an array: among tokens by position, and as a word of a text that joins the elements.
+BREAK, MARK = "\x1e", "\ua7ff\ua7ff\ua7ff"
+_gaps = ContextVar("gaps", default=False)
+
+
 def register(kind: dict, name: str):
     """Decorator that enters a component in a registry."""
 
@@ -136,7 +142,10 @@ def to_lower(t: Column) -> Column:
 
 @register(TOKEN_FILTERS, "stop_tokens")
 def stop(t: Column, words: list[str]) -> Column:
+    """Removes words; where positions count, an empty token stays in place of each."""
     listed = F.array(*map(F.lit, words))
+    if _gaps.get():
+        return F.transform(t, lambda x: F.when(F.array_contains(listed, x), "").otherwise(x))
     return F.filter(t, lambda x: ~F.array_contains(listed, x))
 
 
@@ -344,6 +353,9 @@ def english(c: Column) -> Column:
     return stem(stop(possessive(unicode_tokens(F.lower(c))), STOP["en"]), "en")
 
 
+english.python = True
+
+
 @register(ANALYZERS, "cjk")
 def cjk(c: Column) -> Column:
     return stop(cjk_bigram(cjk_width(unicode_tokens(F.lower(c)))), STOP["en"])
@@ -357,6 +369,7 @@ def _language(lang: str) -> Callable[[Column], Column]:
                 t = TOKEN_FILTERS[name](t)
         return t
 
+    run.python = f"stemmer_{lang}" in TOKEN_FILTERS
     return run
 
 
@@ -376,8 +389,30 @@ def custom(tokenizer: str | dict, char_filters: list = (), token_filters: list =
         c = reduce(lambda x, s: call(CHAR_FILTERS, s, x), char_filters, c)
         return reduce(lambda x, s: call(TOKEN_FILTERS, s, x), token_filters, call(TOKENIZERS, tokenizer, c))
 
+    named = [s if isinstance(s, str) else s["type"] for s in (*char_filters, *token_filters)]
+    run.python = any(n.startswith(("stemmer", "asciifolding", "normalize_unicode", "dict_compound")) for n in named)
     return run
 
 
+def positional(analyzer: Callable[[Column], Column], c: Column) -> Column:
+    """The tokens of c with empty ones where stop words were."""
+    token = _gaps.set(True)
+    try:
+        return analyzer(c)
+    finally:
+        _gaps.reset(token)
+
+
+def in_python(analyzer: Callable[[Column], Column]) -> bool:
+    """Whether an analyzer holds an Arrow UDF, which can't stand inside a lambda."""
+    return getattr(analyzer, "python", False)
+
+
+def by_element(analyzer: Callable[[Column], Column], texts: Column) -> Column:
+    """The tokens of each text of an array, for analyzers that run in Python."""
+    line = F.array_join(positional(analyzer, F.array_join(texts, f" {MARK} ")), "\x1f")
+    return F.transform(F.split(line, f"\x1f?{MARK}\x1f?"), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, "\x1f")))
+
+
 def analyze(c: Column, analyzer: str) -> Column:
     return ANALYZERS[analyzer](c)

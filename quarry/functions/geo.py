@@ -160,6 +160,6 @@ def shape_predicate(column: Column, shape: dict, relation: str) -> Column:
 
 def ip_number(c: Column) -> Column:
     """A dotted IPv4 address as a number; null otherwise."""
-    ok = c.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    ok = c.rlike(r"^(25[0-5]|2[0-4]\d|[01]?\d?\d)(\.(25[0-5]|2[0-4]\d|[01]?\d?\d)){3}$")
     parts = F.split(c, r"\.")
     return F.when(ok, sum((parts[k].cast("long") * (1 << (24 - 8 * k)) for k in range(1, 4)), parts[0].cast("long") * (1 << 24)))

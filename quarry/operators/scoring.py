@@ -26,15 +26,20 @@ def statistics(ctx: q.Context, df: DataFrame, query: q.Query) -> None:
 
 def with_tokens(ctx: q.Context, df: DataFrame, query: q.Query) -> DataFrame:
     """df with one token column for each analysed field of the query, so that an analyzer runs once a row."""
-    todo, fields = [query], set()
+    todo, fields, placed = [query], set(), set()
     while todo:
         x = todo.pop()
         todo += x.children()
         f = getattr(x, "field", None)
+        if isinstance(x, q.Phrase):
+            placed.add(ctx.name(f))
         if isinstance(f, str) and ctx.kind(f) == "text" and f != "_all" and not isinstance(x, (q.Nested, q.Geo)):
             fields.add(ctx.name(f))
     for f in sorted(fields):
         if f not in ctx.tokens and f in ctx.df.columns:
+            if f in placed:
+                df = df.withColumn(f"_pos_{f}", ctx.slots(f))
+                ctx.positions[f] = f"_pos_{f}"
             df = df.withColumn(f"_tok_{f}", ctx.toks(f))
             ctx.tokens[f] = f"_tok_{f}"
     return df

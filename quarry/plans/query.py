@@ -1,6 +1,7 @@
 """Queries as a tree that compiles to a predicate column and a score column.
 
-A predicate is null-safe (a missing field doesn't match), so negation keeps documents that lack the field.
+A predicate is true where a document matches; elsewhere it is false or null. Filters use it as it stands, so that positive
+conjuncts reach the scan; a negation or a count takes null (a missing field) as false, so that it keeps what lacks the field.
 Scores follow the classic vector-space model or BM25 over token arrays: term leaves need the documents' token
 columns and corpus statistics (document count, document frequencies, average length), which one aggregation
 over the collection gives for all leaves at once.
@@ -12,6 +13,7 @@ import ipaddress
 import math
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -40,6 +42,7 @@ class Context:
     id_col: str = "_id"
     scoring: str = "tfidf"
     tokens: dict[str, str] = field(default_factory=dict)
+    positions: dict[str, str] = field(default_factory=dict)
     joins: list[tuple[DataFrame, str, str]] = field(default_factory=list)
     n_docs: int = 0
     df_of: dict[tuple[str, str], int] = field(default_factory=dict)
@@ -92,15 +95,36 @@ class Context:
         if f == "_all":
             names = [c for c in self.df.columns if self.kind(c) == "text" and not c.startswith("_")]
             return F.concat(*(self.toks(c) for c in names)) if names else F.array().cast("array<string>")
-        c = self.col(f)
-        if isinstance(self.dtype(f), T.ArrayType):
-            return F.flatten(F.transform(c, lambda x: self.analyzer(f)(x)))
-        return self.analyzer(f)(F.coalesce(c, F.lit("")))
+        if f not in self.positions and not isinstance(self.dtype(f), T.ArrayType):
+            return self.analyzer(f)(F.coalesce(self.col(f), F.lit("")))
+        return F.filter(self.slots(f), lambda x: ~x.isin("", analysis.BREAK))
 
-    def terms(self, f: str, text: str) -> list[str]:
-        """Analyses query text: the analyzer's expression over a local row, which the optimizer evaluates without a job."""
+    def slots(self, f: str) -> Column:
+        """The tokens of a field by position: empty where a stop word was, BREAK between the elements of an array."""
+        f = self.name(f)
+        c, analyzer = self.col(f), self.analyzer(f)
+        if f in self.positions:
+            return F.col(self.positions[f])
+        if not isinstance(self.dtype(f), T.ArrayType):
+            return analysis.positional(analyzer, F.coalesce(c, F.lit("")))
+        if analysis.in_python(analyzer):  # no Python inside a lambda: the elements are analysed as one text with marks between
+            return F.transform(analysis.positional(analyzer, F.array_join(c, f" {analysis.MARK} ")), lambda x: F.when(x == analysis.MARK, analysis.BREAK).otherwise(x))
+        return F.flatten(F.transform(c, lambda x: F.concat(analysis.positional(analyzer, x), F.array(F.lit(analysis.BREAK)))))
+
+    def terms(self, f: str, text: str, gaps: bool = False) -> list[str]:
+        """Analyses query text: the analyzer's expression over a local row, which the optimizer evaluates without a job.
+
+        With gaps, removed stop words between terms are empty strings.
+        """
         row = self.df.sparkSession.sql("SELECT * FROM VALUES (1) AS one(x)")
-        return row.select(self.analyzer(f)(F.lit(text)).alias("t")).first().t or []
+        found = row.select(analysis.positional(self.analyzer(f), F.lit(text)).alias("t")).first().t or []
+        if not gaps:
+            return [t for t in found if t]
+        while found and not found[0]:
+            found = found[1:]
+        while found and not found[-1]:
+            found = found[:-1]
+        return found
 
 
 class Query:
@@ -164,18 +188,18 @@ class Term(Query):
         c = ctx.col(self.field)
         array = isinstance(ctx.dtype(self.field), T.ArrayType)
         if kind == "text":
-            return _safe(F.array_contains(ctx.toks(self.field), _text(v)))
+            return F.array_contains(ctx.toks(self.field), _text(v))
         if kind == "boolean":
             want = v if isinstance(v, bool) else str(v).lower() in ("true", "t")
             test = lambda x: x == F.lit(want)
         elif kind in ("number", "date"):
             target = ctx.dtype(self.field)
             target = target.elementType if array else target
-            test = (lambda x: x == F.to_timestamp(F.lit(v))) if kind == "date" else (lambda x: x.cast("double") == F.lit(str(v)).try_cast("double"))
+            test = (lambda x: x == F.to_timestamp(F.lit(v))) if kind == "date" else (lambda x: _equal(x, target, v))
         else:
             values = {_text(v)} | ({str(v).lower()} if isinstance(v, str) and v.lower() != v else set())
             test = lambda x: x.isin(sorted(values))
-        return _safe(F.exists(c, test) if array else test(c))
+        return F.exists(c, test) if array else test(c)
 
     def scored_terms(self, ctx):
         return {(ctx.name(self.field), _text(self.value))} if ctx.kind(self.field) in ("text", "keyword") else set()
@@ -203,6 +227,22 @@ class Term(Query):
         return s if norm is None else s * F.lit(self.boost * idf * norm)
 
 
+def _equal(x: Column, kind: T.DataType, v: Any) -> Column:
+    """x equals a number, compared in the column's own type: exact beyond 2^53, and of a form that scans can use."""
+    try:
+        exact = Decimal(str(v).strip())
+    except InvalidOperation:
+        return F.lit(False)
+    if isinstance(kind, T.IntegralType):
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(kind), 63)
+        if not exact.is_finite() or exact != exact.to_integral_value() or not -(1 << bits) <= exact < 1 << bits:
+            return F.lit(False)
+        return x == F.lit(int(exact)).cast(kind)
+    if isinstance(kind, T.DecimalType) and exact.is_finite():
+        return x == F.lit(exact)
+    return x == F.lit(float(exact)) if isinstance(kind, T.DoubleType) else x.cast("double") == F.lit(float(exact))
+
+
 def _text(v: Any) -> str:
     return str(v).lower() if isinstance(v, bool) else str(v)
 
@@ -237,7 +277,7 @@ class Disj(Compound):
     tie: float = 0.0
 
     def _hits(self, ctx):
-        return reduce(lambda a, b: a + b, (q.pred(ctx).cast("int") for q in self.queries), F.lit(0))
+        return reduce(lambda a, b: a + b, (_safe(q.pred(ctx)).cast("int") for q in self.queries), F.lit(0))
 
     def pred(self, ctx):
         if not self.queries:
@@ -283,7 +323,7 @@ class Bool(Query):
         return max(0, min(n, int(v)))
 
     def pred(self, ctx):
-        p = [q.pred(ctx) for q in (*self.must, *self.filter)] + [~q.pred(ctx) for q in self.must_not]
+        p = [q.pred(ctx) for q in (*self.must, *self.filter)] + [~_safe(q.pred(ctx)) for q in self.must_not]
         if self.need() > 0:
             p.append(Disj(self.should, self.need()).pred(ctx))
         return reduce(lambda a, b: a & b, p, F.lit(True))
@@ -311,7 +351,7 @@ class Terms(Query):
     def pred(self, ctx):
         values = list(dict.fromkeys(self.values))
         if ctx.kind(self.field) in ("number", "keyword") and not isinstance(ctx.dtype(self.field), T.ArrayType):
-            return _safe(ctx.col(self.field).isin(values))
+            return ctx.col(self.field).isin(values)
         tests = [Term(self.field, v).pred(ctx) for v in values]
         tests += [Conj([Term(self.field, w) for w in v.split()]).pred(ctx) for v in values if isinstance(v, str) and " " in v]
         return reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -346,8 +386,8 @@ class Range(Query):
             return reduce(lambda a, b: a & b, p, x.isNotNull())
 
         if kind == "text" and self.field in ctx.mapping:
-            return _safe(F.exists(ctx.toks(self.field), test))
-        return _safe(F.exists(c, test) if isinstance(ctx.dtype(self.field), T.ArrayType) else test(c))
+            return F.exists(ctx.toks(self.field), test)
+        return F.exists(c, test) if isinstance(ctx.dtype(self.field), T.ArrayType) else test(c)
 
 
 @dataclass
@@ -384,10 +424,10 @@ class Pattern(Query):
         if kind == "missing":
             return F.lit(False)
         if kind == "text":
-            return _safe(F.exists(ctx.toks(self.field), self.test))
+            return F.exists(ctx.toks(self.field), self.test)
         c = ctx.col(self.field)
         array = isinstance(ctx.dtype(self.field), T.ArrayType)
-        return _safe(F.exists(c, self.test) if array else self.test(c.cast("string")))
+        return F.exists(c, self.test) if array else self.test(c.cast("string"))
 
 
 @dataclass
@@ -400,7 +440,7 @@ class Exists(Query):
         if isinstance(d, T.NullType):
             return F.lit(False)
         c = ctx.col(self.field)
-        return _safe(F.size(c) > 0) if isinstance(d, T.ArrayType) else c.isNotNull()
+        return F.size(c) > 0 if isinstance(d, T.ArrayType) else c.isNotNull()
 
 
 @dataclass
@@ -409,7 +449,11 @@ class Ids(Query):
     boost: float = 1.0
 
     def pred(self, ctx):
-        return _safe(F.col(ctx.id_col).cast("string").isin([v for v in self.values if isinstance(v, str)]))
+        values = [v for v in self.values if isinstance(v, str)]
+        if isinstance(ctx.dtype(ctx.id_col), (T.LongType, T.IntegerType)):  # compared as numbers, which scans can use
+            values = [int(v) for v in values if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v) and -(1 << 63) <= int(v) < 1 << 63]
+            return F.col(ctx.id_col).isin(values) if values else F.lit(False)
+        return F.col(ctx.id_col).cast("string").isin(values)
 
 
 @dataclass
@@ -422,7 +466,7 @@ class IpRange(Query):
         net = ipaddress.ip_network(self.cidr, strict=False)
         c = ctx.col(self.field)
         if net.version == 4:
-            return _safe(geo.ip_number(c).between(int(net.network_address), int(net.broadcast_address)))
+            return geo.ip_number(c).between(int(net.network_address), int(net.broadcast_address))
         @F.pandas_udf("boolean")
         def inside(s: pd.Series) -> pd.Series:
             def one(v):
@@ -483,7 +527,7 @@ class Phrase(Query):
 
     def prepare(self, ctx):
         if self.text is not None:
-            self.slots = [[t, *ctx.synonyms.get(t, [])] for t in ctx.terms(self.field, self.text)]
+            self.slots = [[t, *ctx.synonyms.get(t, [])] if t else [] for t in ctx.terms(self.field, self.text, gaps=True)]
         firsts = [s for s in self.slots if s]
         self.inner = Conj([Disj([Term(self.field, t, self.boost) for t in s]) if len(s) > 1 else Term(self.field, s[0], self.boost) for s in firsts]) if firsts else MatchNone()
 
@@ -494,12 +538,12 @@ class Phrase(Query):
         slots = [[s] if isinstance(s, str) else list(s) for s in self.slots]
         if not any(slots):
             return F.lit(False)
-        toks, n = ctx.toks(self.field), len(slots)
+        toks, n = ctx.slots(self.field), len(slots)
 
         def fits(x: Column, k: int) -> Column:
             s = slots[k]
             if not s:
-                return F.lit(True)
+                return x != analysis.BREAK
             if self.prefix_last and k == n - 1:
                 return x.startswith(s[0])
             if self.fuzziness:
@@ -512,10 +556,10 @@ class Phrase(Query):
             # tokens hold no separator, so adjacency is a substring of the joined tokens
             sep = "\x1f"
             line = F.concat(F.lit(sep), F.array_join(toks, sep), F.lit(sep))
-            return _safe(holds & line.contains(sep + sep.join(s[0] for s in slots) + sep))
+            return holds & line.contains(sep + sep.join(s[0] for s in slots) + sep)
         at = F.sequence(F.lit(1), F.size(toks) - n + 1)
         here = lambda i: reduce(lambda a, b: a & b, (fits(F.element_at(toks, i + k), k) for k in range(n)))
-        return _safe(holds & (F.size(toks) >= n) & F.when(F.size(toks) >= n, F.exists(at, here)))
+        return holds & (F.size(toks) >= n) & F.when(F.size(toks) >= n, F.exists(at, here))
 
     def score(self, ctx, norm):
         return self.inner.score(ctx, norm)
@@ -575,16 +619,30 @@ class Nested(Query):
         if self.mode == "flattened":
             return self.inner.pred(ctx)
         element = ctx.df.schema[self.path].dataType.elementType
+        kinds = {n: ctx.mapping.get(f"{self.path}.{n}", {}) for n in element.names}
+        python = [n for n, m in kinds.items() if m.get("type") == "text" and analysis.in_python(ctx.analyzer(f"{self.path}.{n}"))]
 
-        def one(e: Column) -> Column:
+        def one(e: Column, made: Column | None = None) -> Column:
             sub = Context(ctx.df.sparkSession.createDataFrame([], element), {k[len(self.path) + 1 :]: v for k, v in ctx.mapping.items() if k.startswith(self.path + ".")}, ctx.synonyms, id_col=ctx.id_col)
             sub.aliases = {n: e[n] for n in element.names}
             sub.dtype = lambda f: element[sub.name(f)].dataType if sub.name(f) in element.names else T.NullType()  # type: ignore[method-assign]
+            if made is not None:
+                slots, toks = sub.slots, sub.toks
+                sub.slots = lambda f: made[sub.name(f)] if sub.name(f) in python else slots(f)  # type: ignore[method-assign]
+                sub.toks = lambda f: F.filter(made[sub.name(f)], lambda x: x != "") if sub.name(f) in python else toks(f)  # type: ignore[method-assign]
             q = _strip(self.inner, self.path + ".")
             q.prepare(sub)
             return q.pred(sub)
 
-        return _safe(F.exists(F.col(self.path), one))
+        if not python:
+            return F.exists(F.col(self.path), lambda e: one(e))
+        # stemmers run in Python, which no lambda holds: all elements are analysed as one text and cut at its marks
+        cut = [analysis.by_element(ctx.analyzer(f"{self.path}.{n}"), _texts(self.path, n)).alias(n) for n in python]
+        return F.exists(F.zip_with(F.col(self.path), F.arrays_zip(*cut), lambda e, made: one(e, made)), lambda x: x)
+
+
+def _texts(path: str, name: str) -> Column:
+    return F.transform(F.col(path), lambda e: F.coalesce(e[name], F.lit("")))
 
 
 def _strip(q: Query, prefix: str) -> Query:
@@ -623,7 +681,7 @@ class Joined(Query):
         ctx.joins.append((ids, ctx.id_col if self.relation == "child" else "_join_parent", self.marker))
 
     def pred(self, ctx):
-        return _safe(F.col(self.marker))
+        return F.col(self.marker)
 
 
 @dataclass
@@ -636,9 +694,9 @@ class Geo(Query):
     def pred(self, ctx):
         c = ctx.col(self.field)
         if self.kind == "shape":
-            return _safe(geo.shape_predicate(c, *self.args))
+            return geo.shape_predicate(c, *self.args)
         f = {"box": geo.in_box, "distance": geo.within_distance, "polygon": geo.in_polygon}[self.kind]
-        return _safe(f(c["lon"], c["lat"], *self.args))
+        return f(c["lon"], c["lat"], *self.args)
 
 
 @dataclass
@@ -647,7 +705,7 @@ class ScriptFilter(Query):
     boost: float = 1.0
 
     def pred(self, ctx):
-        return _safe(script.expression(self.spec).cast("boolean"))
+        return script.expression(self.spec).cast("boolean")
 
 
 @dataclass
@@ -665,7 +723,7 @@ class ScriptScore(Query):
 
     def pred(self, ctx):
         p = self.inner.pred(ctx)
-        return p if self.min_score is None else p & _safe(self.score(ctx, None) >= self.min_score)
+        return p if self.min_score is None else p & (self.score(ctx, None) >= self.min_score)
 
 
 @dataclass
@@ -722,7 +780,7 @@ class FunctionScore(Query):
 
     def pred(self, ctx):
         p = self.inner.pred(ctx)
-        return p if self.min_score is None else p & _safe(self.score(ctx, None) >= self.min_score)
+        return p if self.min_score is None else p & (self.score(ctx, None) >= self.min_score)
 
 
 def field_value_factor(field: str, factor: float = 1.0, modifier: str = "none", missing: float = 1.0) -> Column:

@@ -241,3 +241,55 @@ def test_three_bucket_levels(spark):
     assert {(m["key"]["a"], m["key"]["b"], c["key"]): leaf(c) for m, c in flat} == want
     assert all(c["st"]["sum"] == c["s"]["value"] and len(c["top"]["hits"]) == 1 and c["top"]["hits"][0]["c"] == c["key"] for _, c in flat)
     assert all(m["st"]["count"] == m["doc_count"] for m in r["m"]["buckets"])
+
+
+FILTERS = "q_term_keyword q_terms q_term_number q_range_number q_range_date q_prefix q_bool q_ids".split()
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_filters_reach_the_scan(spark, name):
+    from quarry.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan
+
+
+def hits_of(e, index, query):
+    return sorted(r["_id"] for r in e.matches(index, query).collect())
+
+
+def test_phrases_respect_stop_words_and_elements(spark):
+    e = Engine(spark)
+    rows = [("1", "the quick fox", ["big dog", "cat nap"]), ("2", "quick the fox", ["dog cat"]), ("3", "quick a fox", None)]
+    for analyzer in ("standard", "en"):
+        kind = {"type": "text", "analyzer": analyzer}
+        e.create_index(analyzer, spark.createDataFrame(rows, "_id string, title string, tags array<string>"), {"title": kind, "tags": kind})
+        assert hits_of(e, analyzer, {"match_phrase": {"title": "quick fox"}}) == ["1"]
+        assert hits_of(e, analyzer, {"match_phrase": {"title": "quick the fox"}}) == ["2", "3"]
+        assert hits_of(e, analyzer, {"match_phrase": {"tags": "dog cat"}}) == ["2"]
+        assert hits_of(e, analyzer, {"match": {"tags": "cats" if analyzer == "en" else "cat"}}) == ["1", "2"]
+        assert hits_of(e, analyzer, {"bool": {"must_not": [{"match": {"tags": "cat"}}]}}) == ["3"]
+
+
+def test_stemmed_nested_fields(spark):
+    e = Engine(spark)
+    rows = [("1", [("running dogs", 1), ("cats", 2)]), ("2", [("dog", 2)]), ("3", [])]
+    e.create_index("n", spark.createDataFrame(rows, "_id string, parts array<struct<body:string,n:int>>"), {"parts.body": {"type": "text", "analyzer": "en"}})
+    both = {"bool": {"must": [{"match": {"parts.body": "dog"}}, {"term": {"parts.n": 2}}]}}
+    assert hits_of(e, "n", {"nested": {"path": "parts", "query": both}}) == ["2"]
+    assert hits_of(e, "n", {"nested": {"path": "parts", "query": {"match": {"parts.body": "runs"}}}}) == ["1"]
+
+
+def test_large_numbers_are_exact(spark):
+    e = Engine(spark)
+    e.create_index("b", spark.createDataFrame([("1", (1 << 53) + 1), ("2", 1 << 53), ("3", None)], "_id string, k long"))
+    assert hits_of(e, "b", {"term": {"k": (1 << 53) + 1}}) == ["1"]
+    assert hits_of(e, "b", {"term": {"k": "9007199254740992"}}) == ["2"]
+    assert hits_of(e, "b", {"term": {"k": 1.5}}) == hits_of(e, "b", {"term": {"k": "x"}}) == hits_of(e, "b", {"term": {"k": 1 << 70}}) == []
+    assert hits_of(e, "b", {"bool": {"must_not": [{"term": {"k": 1 << 53}}]}}) == ["1", "3"]
+
+
+def test_addresses_beyond_255_match_nothing(spark):
+    e = Engine(spark)
+    e.create_index("ip", spark.createDataFrame([("1", "10.0.0.300"), ("2", "10.0.1.44"), ("3", None)], "_id string, ip string"), {"ip": {"type": "ip"}})
+    assert hits_of(e, "ip", {"ip_range": {"ip": "10.0.1.0/24"}}) == ["2"]
