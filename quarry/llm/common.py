@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -25,10 +26,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset and everything runs on one machine (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
     spark.conf.set("spark.checkpoint.dir", made)
     spark.sparkContext.setCheckpointDir(made)
@@ -64,6 +67,13 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def shielded(df: DataFrame, needed: tuple[str, ...], of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `of` makes of df, with the columns that it doesn't need under names that can't clash with its own meanwhile."""
+    inner = [c if c in needed else f"_in_{i}" for i, c in enumerate(df.columns)]
+    out = of(df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, inner))))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(df.columns, inner)))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with _f and _r, which name each row by its file and place there, however a later scan is split.
 
@@ -92,28 +102,55 @@ def side_rows(path: str, file: int, first: int, last: int) -> pa.Table | None:
     return pads.dataset(folder, filesystem=fs, format="parquet").to_table(filter=where).sort_by("_r")
 
 
-def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows (numbered) that kept (_f, _r) names, with columns. Only names move: the rows stay in their scan, whatever their size."""
-    path = side_table(kept.select("_f", "_r"), "kept")
+def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The rows (numbered) that kept (_f, _r) names, with columns and what kept has more of each.
+
+    Only names and those values move: the rows stay in their scan, whatever their size.
+    """
+    path = side_table(kept.select("_f", "_r", *more), "kept")
     schema = rows.select(*columns).schema
+    for c in more:
+        schema = schema.add(kept.schema[c])
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f, r = batch.column(n).to_numpy(), batch.column(n + 1).to_numpy()
-            mask = np.zeros(len(r), bool)
-            for x in np.unique(f):
-                own = f == x
-                found = side_rows(path, int(x), int(r[own].min()), int(r[own].max()))
-                if found is not None:
-                    mask[own] = np.isin(r[own], found.column("_r").to_numpy())
-            if mask.any():
-                out = batch.filter(pa.array(mask))
-                yield pa.RecordBatch.from_arrays(out.columns[:n], names=schema.names)
+        for whole in batches:
+            f, r = whole.column(n).to_numpy(), whole.column(n + 1).to_numpy()
+            ends = np.flatnonzero(np.r_[f[1:] != f[:-1], True]) + 1 if len(f) else []
+            for a, b in zip([0, *ends[:-1]], ends):  # a file at a time
+                found = side_rows(path, int(f[a]), int(r[a:b].min()), int(r[a:b].max()))
+                if found is None or not found.num_rows:
+                    continue
+                own = found.column("_r").to_numpy()
+                at = np.minimum(np.searchsorted(own, r[a:b]), len(own) - 1)
+                mask = own[at] == r[a:b]
+                if mask.any():
+                    out = whole.slice(a, b - a).filter(pa.array(mask))
+                    extra = [found.column(c).combine_chunks().take(pa.array(at[mask])) for c in more]
+                    yield pa.RecordBatch.from_arrays([*out.columns[:n], *(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in extra)], names=schema.names)
+            tidy()
 
     return rows.select(*columns, "_f", "_r").mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that a worker's peak isn't kept for its life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what Python holds of them at once stays small."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+        del batch
+        tidy()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

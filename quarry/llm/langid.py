@@ -1,33 +1,36 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled documents
-(PER_LANGUAGE documents a language, WINDOWS windows of each) and labels every byte position; a document's
-probabilities are the pooled log-probabilities of all its positions. Texts are cut into windows of WINDOW
+(PER_LANGUAGE documents a language, SAMPLE_DOCS in all and then fewer of each; WINDOWS windows of each) and labels every
+byte position; a document's probabilities are the pooled log-probabilities of all its positions. Texts are cut into windows of WINDOW
 bytes that the recurrences run over side by side, so a document of any length is read whole in bounded
 memory and time linear in its bytes.
 
 Defined cases: a text that is null or holds no letter is `und` with score 0; with no labelled document every
 text is `und`; null languages are never learned; a language with few documents is learned from those; ties
 between languages go to the smaller name; empty tables give empty results; repeated rows are labelled alike;
-extra columns are ignored (query) or kept (`keep_known`).
+extra columns are ignored (query) or kept (`keep_known`). Letters are the characters of Unicode category L.
+
+`keep_known` rejects what is `und` and what the network is less sure of, a byte, than it is of nearly all labelled
+documents of that language outside its training fold; the floors cover all of those. A null lang becomes the predicted one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import check_columns, crc_mod, load
+from .common import check_columns, crc_mod, keep_rows, load, materialize, numbered, shielded, slices
 
 #: Bound of the training sample: documents a language, windows of a document.
 PER_LANGUAGE = 250
-MAX_LANGUAGES = 200
+SAMPLE_DOCS = 50_000
 WINDOWS = 3
 WINDOW = 128
 HIDDEN = 8
@@ -35,7 +38,7 @@ EMBED = 8
 EPOCHS = 8
 #: Windows that inference runs side by side.
 BLOCK = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -207,16 +210,16 @@ def pooled(model: ByteGRU, texts: list[bytes]) -> np.ndarray:
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(text, lang) of the training documents: the PER_LANGUAGE first by hash of each language outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # cut to PER_LANGUAGE a task before its shuffle
-    ids = known.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LANGUAGE)
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    rows = ids.where(F.col("lang").isin(langs)).select("lang", "doc_id").distinct()  # at most 60,000 ids
+    n_langs = known.agg(F.count_distinct("lang")).first()[0]
+    most = max(1, min(PER_LANGUAGE, SAMPLE_DOCS // max(1, n_langs)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # cut to the bound a task before its shuffle
+    rows = known.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("lang", "doc_id").distinct()  # at most SAMPLE_DOCS ids
     # of a training document, WINDOWS windows are used; they start at its begin, middle and end
     n = F.length("text")
     piece = lambda k: F.substring("text", F.greatest(F.lit(1), ((n - WINDOW) * k / max(1, WINDOWS - 1)).cast("int") + 1), F.lit(WINDOW))
     parts = F.array(*(piece(k) for k in range(WINDOWS)))
     found = known.join(F.broadcast(rows), ["lang", "doc_id"]).select("lang", "doc_id", F.explode(F.array_distinct(parts)).alias("part"))
-    return [(r.part, r.lang) for r in found.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "part").limit(PER_LANGUAGE * MAX_LANGUAGES * WINDOWS).collect()]
+    return [(r.part, r.lang) for r in found.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "part").limit(SAMPLE_DOCS * WINDOWS).collect()]
 
 
 def train(rows: list[tuple[str, str]]) -> tuple[list[str], ByteGRU | None]:
@@ -230,29 +233,30 @@ def train(rows: list[tuple[str, str]]) -> tuple[list[str], ByteGRU | None]:
     return langs, model
 
 
-def predict(texts: list[str | None], langs: list[str], model: ByteGRU | None) -> tuple[list[str], list[float]]:
+def predict(texts: list[str | None], langs: list[str], model: ByteGRU | None) -> tuple[list[str], list[float], list[float]]:
+    """Of each text the language, its pooled probability, and how sure the network is of it a byte (a geometric mean)."""
     blank = [not t or not _LETTER.search(t) for t in texts]
     if not langs:
-        return ["und"] * len(texts), [0.0] * len(texts)
+        return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     z = pooled(model, [b"" if b else t.encode("utf-8", "replace") for t, b in zip(texts, blank)])
     best = z.argmax(axis=1)
     # the pooled probability: geometric means of the positions' probabilities, normalised over languages
     p = np.exp(z - z.max(axis=1, keepdims=True))
-    score = 1.0 / p.sum(axis=1)
-    return ["und" if b else langs[k] for b, k in zip(blank, best)], [0.0 if b else float(s) for b, s in zip(blank, score)]
+    score, sure = 1.0 / p.sum(axis=1), np.exp(z.max(axis=1))
+    return ["und" if b else langs[k] for b, k in zip(blank, best)], np.where(blank, 0.0, score).tolist(), np.where(blank, 0.0, sure).tolist()
 
 
 def labelled(docs: DataFrame, langs: list[str], model: ByteGRU | None) -> DataFrame:
-    """docs with lang_pred and score; only text is read for them."""
-    at = docs.columns.index("text")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    """docs (text last) without text, with lang_pred, score and sure."""
+    keep = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("sure")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, score = predict(batch.column(at).to_pylist(), langs, model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        for batch in slices(batches):
+            pred, score, sure = predict(batch.column(len(keep)).to_pylist(), langs, model)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def op1_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +266,26 @@ def op1_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(docs.select("doc_id", "text"), langs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs whose language is known: those labelled `und`, or below the least score, go."""
+#: Share of the labelled documents of a language beyond whose sureness (and MARGIN times it, as logarithms) a text is rejected.
+REJECTED, MARGIN = 0.001, 1.25
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """docs whose language is known: those labelled `und`, or surer than which nearly all documents of the language are, go."""
+    check_columns(docs, "doc_id", "text", "lang")
+    return shielded(docs, ("doc_id", "text", "lang"), _kept)
+
+
+def _kept(docs: DataFrame) -> DataFrame:
+    cols = docs.columns
+    rows = numbered(docs)
     langs, model = train(sample(docs))
-    return labelled(docs.withColumnsRenamed({"lang_pred": "_in_pred", "score": "_in_score"}), langs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score").withColumnsRenamed({"_in_pred": "lang_pred", "_in_score": "score"})
+    if not langs:  # nothing was learned: only texts without a letter are known to be none
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    held = (crc_mod(F.col("doc_id"), 4) == 2).alias("held")
+    found = materialize(labelled(rows.select("_f", "_r", "lang", held, "text"), langs, model), "languages")
+    own = found.where("held AND lang = lang_pred AND sure > 0")
+    floors = own.groupBy("lang_pred").agg((F.percentile_approx(F.log("sure"), REJECTED, 10_000) * MARGIN).alias("floor"))
+    sure = found.where("lang_pred != 'und'").join(floors, "lang_pred", "left").where(F.col("floor").isNull() | (F.log("sure") >= F.col("floor")))
+    known = keep_rows(rows, sure.select("_f", "_r", "lang_pred"), cols, "lang_pred")
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*cols)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import check_columns, load, materialize, numbered, word_count, words_of
+from .common import check_columns, load, materialize, numbered, shielded, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -150,21 +150,22 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, the one at a budget's end cut to the words taken.
+    """The mixed corpus: each document as often as the mix takes it; the one at a budget's end comes whole or not, whichever is nearer.
 
     Rows are named by file and place, so that the two scans of a stored table agree. Texts aren't shuffled unless
     the boundary rows outgrow a broadcast.
     """
+    check_columns(docs, "doc_id", "text", "source")
+    return shielded(docs, ("doc_id", "text", "source"), _mixed)
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
     cols = docs.columns
-    docs = numbered(docs).select(*(F.col(c).alias(f"_in_{c}") for c in cols), *(F.col(c) for c in ("doc_id", "text", "source", "_f", "_r")))
-    rows = coded(mix_keys(docs))
+    rows = coded(mix_keys(numbered(docs)))
     thin = materialize(rows.select("_source", "size", "_rid", "_c", "_f", "_r"), "mix")
     at, shift = mix_plan(thin)
-    edge = materialize(boundary(thin, at, shift).select("_f", "_r", F.col("_part").alias("_edge")), "edge")
+    edge = materialize(boundary(thin, at, shift).select("_f", "_r", (2 * F.col("_part") >= F.col("size")).cast("long").alias("_edge")), "edge")
     here = _bits(F.col("_c"), shift)
-    part = F.coalesce("_edge", F.when(here < F.col("_prefix"), F.col("size")), F.lit(0))
-    taken = rows.join(at, "_source").join(edge, ["_f", "_r"], "left").withColumn("_taken", F.col("_epochs") * F.col("size") + part).where("_taken > 0")
-    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("size")).cast("int") - 1)))
-    left = F.col("_taken") - F.col("_copy") * F.col("size")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), 1, F.least(left, F.col("size")).cast("int")), " "))
-    return copies.select(*((text if c == "text" else F.col(f"_in_{c}")).alias(c) for c in cols))
+    part = F.coalesce("_edge", F.when(here < F.col("_prefix"), F.lit(1)), F.lit(0))
+    taken = rows.join(at, "_source").join(edge, ["_f", "_r"], "left").where("size > 0").withColumn("_times", (F.col("_epochs") + part).cast("int"))
+    return taken.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)

@@ -24,7 +24,6 @@ gives an empty result; extra columns are ignored. Words are told apart by 64-bit
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 from collections import Counter
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, crc_mod, load, materialize, posix, shared_path
+from .common import check_columns, crc_mod, load, materialize, posix, shared_path, tidy
 from .elias_fano import EliasFano, save_array
 
 DISCOUNT = 0.75
@@ -61,15 +60,6 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return np.array([h(w) for w in words], dtype=np.uint64)
 
 
-def tidy() -> None:
-    """Gives freed memory back to the system, so that a worker's peak isn't kept for its life."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
     """Runs of about TOKENS tokens: the tokens, the rows (batch-wise) and their numbers of tokens."""
     for batch in batches:

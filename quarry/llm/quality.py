@@ -9,8 +9,8 @@ testing stops at the first that isn't rejected at DELTA divided by the number of
 don't certify any level rejects nothing beyond the base rule.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null language is a stratum of
-its own; documents with several labels count once a label; labels of unknown documents and null labels are
-ignored; empty tables give empty results; repeated rows are judged alike; extra columns are ignored.
+its own; a document is good where all its labels say so, and counts once; documents of one text count as one, so copies
+neither fall in both halves nor pass for independent evidence; labels of unknown documents and null labels are ignored; empty tables give empty results; repeated rows are judged alike; extra columns are ignored.
 All of it is DataFrame and SQL functions.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, crc_mod, load, materialize, words_of
+from .common import check_columns, load, materialize, words_of
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -36,6 +36,7 @@ RULES = {
 }
 MIN_WORDS = 50
 ACCURACY = 10_000
+RUN = 4_096
 
 
 def repeat_words(words: str = "words") -> tuple[dict[str, Column], ...]:
@@ -78,6 +79,7 @@ def measure(docs: DataFrame) -> DataFrame:
     return df.select(
         "doc_id",
         "stratum",
+        F.xxhash64("text").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
@@ -92,17 +94,21 @@ def measure(docs: DataFrame) -> DataFrame:
 def binomial_cdf(n: str, x: str, p: float) -> Column:
     """P(Bin(n, p) <= x), summed term by term from the logarithm of the first."""
     p, q = f"{p}D", f"{1 - p!r}D"
-    step = f"a.t + ln(double({n} - k + 1) / k) + ln({p} / {q})"
+    step = f"a.t + ln(double({n} - (j * {RUN}L + k) + 1) / (j * {RUN}L + k)) + ln({p} / {q})"
     first = f"{n} * ln({q})"
-    return F.expr(f"CASE WHEN {x} = 0 THEN exp({first}) ELSE least(1D, aggregate(sequence(1L, {x}), struct(double({first}) AS t, double(exp({first})) AS s), (a, k) -> struct(double({step}) AS t, double(a.s + exp({step})) AS s), a -> a.s)) END")
+    # terms in runs, so that no array is longer than RUN or x / RUN
+    inner = f"aggregate(sequence(1L, least({RUN}L, {x} - j * {RUN}L)), r, (a, k) -> struct(double({step}) AS t, double(a.s + exp({step})) AS s))"
+    return F.expr(f"CASE WHEN {x} = 0 THEN exp({first}) ELSE least(1D, aggregate(sequence(0L, ({x} - 1) div {RUN}), struct(double({first}) AS t, double(exp({first})) AS s), (r, j) -> {inner}, r -> r.s)) END")
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with a certified level: stratum and a cutoff per rule."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
+    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     strata = measured.select("stratum").distinct()
     held = measured.where("NOT base_failed").join(good, "doc_id")
-    held = materialize(held.withColumns({r: F.expr(f"double({e})") for r, (e, _) in RULES.items()}).select("stratum", crc_mod(F.col("doc_id"), 2).alias("half"), *RULES), "labelled")
+    metrics = held.withColumns({r: F.expr(f"double({e})") for r, (e, _) in RULES.items()})
+    texts = metrics.groupBy("stratum", "text_hash").agg(*(F.max(r).alias(r) for r in RULES))  # of one text all are equal
+    held = materialize(texts.select("stratum", F.pmod(F.xxhash64("text_hash"), F.lit(2)).alias("half"), *RULES), "labelled")
     shares = "array(" + ", ".join(f"{1 - t}D" for t in LEVELS) + ")"
     marks = held.where("half = 0").groupBy("stratum").agg(*(F.expr(f"percentile_approx({r}, {shares}, {ACCURACY})").alias(f"c_{r}") for r in RULES))
     marks = marks.withColumns({f"c_{r}": F.expr(f"transform(c_{r}, x -> greatest(x, {floor}D))") for r, (_, floor) in RULES.items()})

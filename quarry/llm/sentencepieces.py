@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Words (runs of word marks and what follows them; no piece of the model crosses their borders) are counted over
-all texts. The lattice of the DICTIONARY most frequent ones is built relationally: substrings up to the length
-of the longest piece are exploded and equi-joined to the piece table, edges are grouped by word, and a
-higher-order aggregate folds them: by Viterbi for unigram models; for BPE models, whose segmentation no
-sum of scores gives, the fold merges, best rank first, and so returns what the model's own merges do. The
-piece table is bounded by the model (broadcast), the dictionary by its size. Words beyond the dictionary and
-words longer than LATTICE_CHARS are folded by the same rules where they are met, so every text is encoded
-whole; no text is shuffled.
+all texts. The lattice of the most frequent ones (those of a count that leaves DICTIONARY words at most) is built
+relationally: substrings up to the length of the longest piece are exploded and equi-joined to the piece table, edges are
+grouped by word, and a higher-order aggregate folds them: by Viterbi for unigram models; for BPE models, whose segmentation
+no sum of scores gives, the fold merges, best rank first, and so returns what the model's own merges do. The piece table is
+bounded by the model (broadcast), the dictionary by its size. All other words, and words longer than LATTICE_CHARS, are
+folded by the same rules where they are met, those of a slice of rows side by side (`Pieces.fold_many`), so every text is
+encoded whole; no text is shuffled. The relational fold costs about a hundred times as much a word, which is why it isn't
+run for words that occur once.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; characters without a piece
 become byte pieces; a literal word mark decodes to a space, as it does for the model; repeated rows are
@@ -22,7 +23,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,13 +33,27 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, load, posix, shared_path
+from .common import check_columns, drop_table, load, materialize, posix, shared_path, slices
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 DICTIONARY = 200_000
 LATTICE_CHARS = 32
 UNKNOWN_PENALTY = 10.0
+#: Words folded since that a worker keeps.
+MORE_WORDS = 150_000
+
+
+def _key(word: str) -> str:
+    return word[1:] if word[0] == MARK and MARK not in word[1:] else "\n" + word
+
+
+def _word(key: str) -> str:
+    return key[1:] if key[:1] == "\n" else MARK + key
+
+
+def _slot(key: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[turn % 2] + 2 * turn)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Pieces:
@@ -64,6 +79,7 @@ class Pieces:
         alone = "".join(c for c in "\n\t" if not any(c in p and len(p) > 1 for p in self.ids))
         one = f"|[{alone}]" if alone else ""
         self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+{one}")
+        self.alone = alone
 
     def bytes_of(self, c: str) -> list[int]:
         if self.first_byte == self.unknown_id:
@@ -116,6 +132,113 @@ class Pieces:
                 heapq.heappush(heap, (-scores[q], k, q))
         return list(chain.from_iterable([self.ids[p]] if p in self.ids else self.bytes_of(p) for p in parts if p))
 
+    def keys(self, text: str | None) -> list[str]:
+        """The words of a text by name: bare after a single mark, else with a line break before."""
+        if not text:
+            return []
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n") if "\n" in self.alone else [text]):
+            if i:
+                out.append("\n\n")
+            if "  " in line or ("\t" in self.alone and "\t" in line) or (not i and line[:1] == " "):
+                out += map(_key, self.words.findall(MARK * (not i) + line.replace(" ", MARK)))
+                continue
+            parts = line.split(" ")
+            if i:  # no mark before the first word of a line
+                if parts[0]:
+                    parts[0] = "\n" + parts[0]
+                else:
+                    del parts[0]
+            out += parts
+        return out
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, list[tuple[np.ndarray, int]], np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of characters, hash tables of the pairs of symbols that merge, and of each pair its key, rank and result."""
+        symbols = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p} - symbols.keys()):
+            symbols[c] = len(self.names) + len(symbols)  # characters that are no pieces but parts of some
+        rank = {v: k for k, v in enumerate(sorted(set(self.scores.values())))}
+        made = [(symbols[p[:k]] << 24 | symbols[p[k:]], rank[self.scores[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        key, order, result = (np.array(x, np.int64) for x in zip(*made))
+        of = np.full(0x110000, -1, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                of[ord(c)] = i
+        tables, left, bits = [], np.arange(len(key)), 22
+        while len(left):  # what collides goes on to the next table
+            table = np.full(1 << bits, -1, np.int32)
+            h = _slot(key[left], bits, len(tables))
+            table[h] = left
+            left = left[table[h] != left]
+            tables.append((table, bits))
+            bits = 16
+        return of, tables, key, order.astype(np.int32), result.astype(np.int32)
+
+    def fold_many(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, as the bytes of 32-bit numbers: merges run over all words of like length at once."""
+        long = words if self.unigram else [w for w in words if len(w) > 64]
+        out = {w: np.array(self.fold(w), np.int32).tobytes() for w in long}
+        if self.unigram:
+            return out
+        short = sorted((w for w in words if len(w) <= 64), key=len)
+        a = 0
+        while a < len(short):
+            b = min(len(short), a + 20_000)
+            while b - a > 1 and (b - a) * len(short[b - 1]) > 400_000:
+                b = (a + b) // 2
+            self._merge_many(short[a:b], out)
+            a = b
+        return out
+
+    def _merge_many(self, words: list[str], out: dict[str, bytes]) -> None:
+        of, tables, keys, ranks, results = self._pairs
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size[-1])
+        sym = of[np.frombuffer("".join([w.ljust(width) for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)]
+        sym[np.arange(width) >= size[:, None]] = -2
+        live = np.arange(len(words))
+        while len(live):
+            n, width = sym.shape
+            if width > 1:
+                key = sym[:, :-1].astype(np.int64) << 24 | sym[:, 1:]
+                flat = key.reshape(-1)
+                at = tables[0][0][_slot(flat, tables[0][1], 0)]
+                miss = np.flatnonzero((at >= 0) & (keys[at] != flat))
+                at[miss] = -1
+                for k, (table, bits) in enumerate(tables[1:], 1):
+                    found = table[_slot(flat[miss], bits, k)]
+                    hit = (found >= 0) & (keys[found] == flat[miss])
+                    at[miss[hit]] = found[hit]
+                at = at.reshape(key.shape)
+                rank = ranks[at]
+                rank[at < 0] = -1
+                best = rank.argmax(axis=1)
+                rows = np.arange(n)
+                done = rank[rows, best] < 0
+            else:
+                done = np.ones(n, bool)
+            if done.any():
+                part = sym[done]
+                have = part != -2
+                ends = np.cumsum(have.sum(axis=1)) * 4
+                flat = part[have].tobytes()
+                plain = (((part >= 0) & (part < len(self.names))) | ~have).all(axis=1)
+                start = 0
+                for i, end, ok in zip(live[done].tolist(), ends.tolist(), plain.tolist()):
+                    w = words[i]
+                    out[w] = flat[start:end] if ok else np.array(self.fold(w), np.int32).tobytes()
+                    start = end
+            if width < 2:
+                break
+            keep = ~done
+            live, sym, best = live[keep], sym[keep], best[keep]
+            sym[np.arange(len(live)), best] = results[at[keep][np.arange(len(live)), best]]
+            cols = np.arange(width - 1)
+            sym = np.take_along_axis(sym, cols + (cols > best[:, None]), 1)
+
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
@@ -166,10 +289,10 @@ def count_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-        for batch in batches:
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(map(_word, seen)), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+        for batch in slices(batches):
             for t in batch.column(0):
-                seen.update(pieces.split(t.as_py()))
+                seen.update(pieces.keys(t.as_py()))
                 if len(seen) > 300_000:
                     yield out()
                     seen.clear()
@@ -224,32 +347,44 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def dictionary(docs: DataFrame, pieces: Pieces) -> str:
     """Encodes the most frequent words; returns the place of the (word, ids) table."""
-    top = count_words(docs, pieces).where(F.length("word") <= LATTICE_CHARS).orderBy(F.desc("n"), "word").limit(DICTIONARY)
+    step = F.floor(F.log("n") * 32)
+    counts = materialize(count_words(docs, pieces).where(F.length("word") <= LATTICE_CHARS).withColumn("step", step), "words")
+    least, words = None, 0
+    for s, n in sorted(counts.groupBy("step").count().collect(), reverse=True):  # some hundred steps of the logarithm
+        words += n
+        if words > DICTIONARY:
+            break
+        least = s
+    top = counts.where(F.col("step") >= least) if least is not None else counts.where("false")
     path = shared_path(docs.sparkSession, "pieces")
-    # limit leaves one partition of at most DICTIONARY words, far below the size at which rows would be split again
-    encode_words(top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word"), pieces).write.parquet(path)
+    encode_words(top.select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism, "word"), pieces).write.parquet(path)
+    drop_table(counts)
     return path
 
 
 @lru_cache(maxsize=2)
 def dictionary_at(path: str) -> dict[str, bytes]:
+    """The ids, as the bytes of 32-bit numbers, of the dictionary's words by name."""
     fs, root = (pafs.LocalFileSystem(), posix(path)) if "://" not in path or path.startswith("file:") else pafs.FileSystem.from_uri(path)
     t = pads.dataset(root, filesystem=fs, format="parquet").to_table()
-    return {w: np.array(ids, np.int32).tobytes() for w, ids in zip(t.column("word").to_pylist(), t.column("ids").to_pylist())}
+    out = {}
+    for b in t.to_batches():
+        ids = b.column(1).flatten().to_numpy().astype(np.int32).tobytes()
+        ends = (np.cumsum(b.column(1).value_lengths().to_numpy()) * 4).tolist()
+        out |= {_key(w): ids[x:y] for w, x, y in zip(b.column(0).to_pylist(), [0, *ends], ends)}
+    return out
 
 
-class Known(dict):
-    """The dictionary (ids as the bytes of 32-bit numbers), with a bounded memory of words folded since."""
+class Decoded(dict):
+    """The bytes that the pieces of a word decode to, by the word's name."""
 
-    def __init__(self, pieces: Pieces, table: dict[str, bytes]) -> None:
-        super().__init__(table)
-        self.fold, self.most = pieces.fold, len(table) + 100_000
+    def __init__(self, known: dict[str, bytes], raw: list[bytes]) -> None:
+        super().__init__()
+        self.known, self.raw = known, raw
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.fold(word), np.int32).tobytes()
-        if len(self) < self.most and len(word) <= LATTICE_CHARS:
-            self[word] = ids
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        self[key] = out = b"".join([self.raw[i] for i in np.frombuffer(self.known[key], np.int32).tolist()])
+        return out
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -259,19 +394,27 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     schema = docs.select(*keep, F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded_sha256")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(pieces, dictionary_at(path))
-        for whole in batches:
-            for a in range(0, len(whole), 512):
-                batch = whole.slice(a, 512)
-                sizes, shas, flat = [0], [], []
-                for t in batch.column(len(keep)):
-                    ids = b"".join(map(known.__getitem__, pieces.split(t.as_py())))
-                    raw = b"".join(map(pieces.raw.__getitem__, np.frombuffer(ids, np.int32).tolist()))
-                    shas.append(hashlib.sha256(raw[1:] if raw.startswith(b" ") else raw).hexdigest())
-                    flat.append(ids)
-                    sizes.append(sizes[-1] + len(ids) // 4)
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, pa.array(shas, pa.string())], names=schema.names)
+        known = dict(dictionary_at(path))
+        decoded = Decoded(known, pieces.raw)
+        most = len(known) + MORE_WORDS
+        for batch in slices(batches):
+            words = [pieces.keys(t.as_py()) for t in batch.column(len(keep))]
+            new = set(chain.from_iterable(words)).difference(known)
+            folded = pieces.fold_many(list(map(_word, new)))
+            known.update((w, folded[_word(w)]) for w in new)
+            sizes, shas, flat = [0], [], []
+            for own in words:
+                ids = b"".join(map(known.__getitem__, own))
+                raw = b"".join(map(decoded.__getitem__, own))
+                shas.append(hashlib.sha256(raw[1:] if raw.startswith(b" ") else raw).hexdigest())
+                flat.append(ids)
+                sizes.append(sizes[-1] + len(ids) // 4)
+            if len(known) > most:
+                for w in new:
+                    del known[w]
+                    decoded.pop(w, None)
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, pa.array(shas, pa.string())], names=schema.names)
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

@@ -58,7 +58,12 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndar
     total = sum(counts)
     room = [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
     out = np.zeros((len(counts), n_shards), dtype=np.int64)
+    small = total < 1_000_000_000  # numpy draws a whole row at once
     for i, left in enumerate(counts):
+        if small:
+            out[i] = rng.multivariate_hypergeometric(room, left, method="marginals")
+            room = (np.asarray(room) - out[i]).tolist()
+            continue
         rest = sum(room)
         for j in range(n_shards):
             rest -= room[j]

@@ -1,13 +1,13 @@
 """SimHash near-duplicates through an inverted index of fingerprint bytes with count filtering.
 
-Two 64-bit fingerprints that differ in at most two bits share at least six of their eight positional bytes.
-The inverted index is keyed by those guaranteed matches: every fingerprint is posted under each of its 28
-choices of six positions, so that one list holds exactly the fingerprints that reach the minimum on them, and
-no list is quadratic to scan: fingerprints are distinct, and a list's members differ in two bytes only.
-Within a list, shared positional bytes are tallied per pair, pairs below the minimum go, and the rest are
-verified by their differing bits. A pair is reported from the first list that holds it. A list of more than
-PAIRWISE members is verified by looking up the 136 one- and two-bit neighbours of each member instead.
-A fingerprint has at most 2080 neighbours in two bits, which bounds the links.
+Two 64-bit fingerprints that differ in at most two bits share at least six of their eight positional bytes. Bytes are
+paired by position; two differing bytes spoil two pairs at most, so such fingerprints agree on two of the four pairs.
+The inverted index is keyed by two pairs, four positional bytes (six choices): its lists, unlike those of single bytes,
+don't grow with the square of the corpus. Within a list the shared positional bytes of each pair of members are tallied,
+pairs below the minimum of six go, and the rest are verified by their differing bits. A list of more than HOT members is
+split first: its members are posted again under each two of the four other positions, where sharing six bytes puts a pair
+in one list, so that no list exceeds 65,536 and the result is the same. Only verified pairs leave a task, and a
+fingerprint has at most 2080 neighbours in two bits.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and is linked like any other;
 fewer than three words make one shingle; equal fingerprints always share a component; null ids take part but
@@ -26,16 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, load, materialize
+from .common import check_columns, load, materialize, slices
 from .components import components
-from .near_copies import deduplicate as deduplicate
 
 SHINGLE = 3
 MAX_BITS = 2
 MIN_MATCHES = 8 - MAX_BITS
-PAIRWISE = 32
-CHOICES = tuple(combinations(range(8), MIN_MATCHES))
+HOT = 2_048
+#: The four positions of each choice of two pairs.
+CHOICES = tuple((2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2))
+#: Of each choice and each two of its other positions, six positions.
+FINER = tuple((*c, *more) for c in CHOICES for more in combinations([p for p in range(8) if p not in c], 2))
 ROWS = 65_536
+#: Pairs that a task tallies at a time.
+PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -63,7 +67,7 @@ def fingerprints(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
     """(keep, fp): the fingerprint of every row, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[keep, "fp"])
 
@@ -76,79 +80,68 @@ def _shared_bytes(x: np.ndarray) -> np.ndarray:
     return (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
 
 
-def _first_choice(x: np.ndarray) -> np.ndarray:
-    """The first choice of positions on which a pair agrees, given its exclusive or."""
-    zero = x.view(np.uint8).reshape(-1, 8) == 0
-    out = np.full(len(x), -1)
-    for k in reversed(range(len(CHOICES))):
-        out[zero[:, CHOICES[k]].all(axis=1)] = k
-    return out
-
-
-NEAR = np.array([m for m in range(1, 1 << 16) if m.bit_count() <= MAX_BITS], dtype=np.int64)
-
-
 def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs within the lists of a sorted run of postings."""
-    found = []
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[start, len(key)])
-    size_of = np.repeat(sizes, sizes)
-
-    def verify(i: np.ndarray, j: np.ndarray) -> None:
-        x = fp[i] ^ fp[j]
-        ok = (_shared_bytes(x) >= MIN_MATCHES) & (np.bitwise_count(x) <= MAX_BITS)
-        i, j, x = i[ok], j[ok], x[ok]
-        first = _first_choice(x) == key[i] >> 48
-        found.append((i[first], j[first]))
-
-    small = size_of <= PAIRWISE
-    for d in range(1, min(PAIRWISE, int(sizes.max(initial=0)))):
-        i = np.flatnonzero(small[:-d] & (key[:-d] == key[d:]))
-        if len(i):
-            verify(i, i + d)
-    for k in np.flatnonzero(sizes > PAIRWISE):
-        rows = np.arange(start[k], start[k] + sizes[k])
-        free = [p for p in range(8) if p not in CHOICES[int(key[start[k]] >> 48)]]
-        low = sum(((fp[rows] >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64) << (8 * q) for q, p in enumerate(free))
-        table = np.full(1 << 16, -1)
-        table[low] = rows
-        for m in NEAR:
-            other = table[low ^ m]
-            ok = other > rows
-            if ok.any():
-                verify(rows[ok], other[ok])
-    i = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    j = np.concatenate([f[1] for f in found]) if found else i
-    return fp[i].view(np.int64), fp[j].view(np.int64)
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): all pairs of distinct fingerprints fp that differ in MAX_BITS bits or fewer."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    live, d = np.arange(len(key)), 0
+    while True:
+        d += 1
+        live = live[live + d < len(key)]
+        live = live[key[live] == key[live + d]]  # the members of one list, d places apart
+        if not len(live):
+            break
+        for k in range(0, len(live), PAIRS):
+            i = live[k : k + PAIRS]
+            x = fp[i] ^ fp[i + d]
+            i = i[_shared_bytes(x) >= MIN_MATCHES]
+            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= MAX_BITS]
+            found.append((fp[i], fp[i + d]))
+    a, b = (np.concatenate(c) for c in zip(*found))
+    if not len(a):
+        return a.view(np.int64), b.view(np.int64)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0].copy().view(np.int64), pairs[:, 1].copy().view(np.int64)
+
+
+def _posted(choices: tuple[tuple[int, ...], ...], number: int):
+    """The keys under which a fingerprint is posted: the number of a choice and the bytes at its positions."""
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-
-    def posted(k: int, choice: tuple[int, ...]):
+    keys = []
+    for k, choice in enumerate(choices, number):
         key = F.lit(k << 48).cast("long")
         for slot, p in enumerate(choice):
             key = key.bitwiseOR(F.shiftleft(byte(p), 8 * slot))
-        return key
+        keys.append(key)
+    return keys
+
 
-    postings = fps.select("fp").distinct().select("fp", F.explode(F.array(*(posted(k, c) for k, c in enumerate(CHOICES)))).alias("key"))
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): all pairs of distinct fingerprints fp that differ in MAX_BITS bits or fewer; a pair may come more than once."""
+    postings = fps.select("fp").distinct().select("fp", F.explode(F.array(*_posted(CHOICES, 0))).alias("key"))
+    hot = materialize(postings.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot")
+    if hot.limit(1).count():
+        finer = _posted(FINER, len(CHOICES))
+        per = len(FINER) // len(CHOICES)
+        of = F.element_at(F.array(*(F.array(*finer[k * per : (k + 1) * per]) for k in range(len(CHOICES)))), (F.shiftrightunsigned("key", 48) + 1).cast("int"))
+        again = postings.join(hot, "key", "left_semi").select("fp", F.explode(of).alias("key"))
+        postings = postings.join(hot, "key", "left_anti").select("fp", "key").unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for b in batches:
-            key = np.concatenate([key, b.column(1).to_numpy()])
-            fp = np.concatenate([fp, b.column(0).to_numpy().view(np.uint64)])
+
+        def out(upto: int) -> Iterator[pa.RecordBatch]:
+            a, b = _links(key[:upto], fp[:upto])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            key = np.concatenate([key, batch.column(1).to_numpy()])
+            fp = np.concatenate([fp, batch.column(0).to_numpy().view(np.uint64)])
             if len(key):
                 cut = int(np.searchsorted(key, key[-1]))  # the last list may go on: at most 65,536 postings wait
-                a, c = _links(key[:cut], fp[:cut])
+                yield from out(cut)
                 key, fp = key[cut:], fp[cut:]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
-        if len(key):
-            a, c = _links(key, fp)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+        yield from out(len(key))
 
     return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
