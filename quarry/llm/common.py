@@ -21,7 +21,19 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: whole texts may be long, and both the executor and its Python workers hold a batch or two.
+BATCH_ROWS = 1_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -69,6 +81,7 @@ def drop_table(df: DataFrame) -> None:
 
 def shielded(df: DataFrame, needed: tuple[str, ...], of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What `of` makes of df, with the columns that it doesn't need under names that can't clash with its own meanwhile."""
+    bounded(df.sparkSession)
     inner = [c if c in needed else f"_in_{i}" for i, c in enumerate(df.columns)]
     out = of(df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, inner))))
     return out.select(*(F.col(n).alias(c) for c, n in zip(df.columns, inner)))

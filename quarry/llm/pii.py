@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, load, materialize, slices
+from .common import bounded, check_columns, load, materialize, slices
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "mailto", "ipv6", "iban", "ssn", "tel", "pan")
@@ -334,6 +334,7 @@ def mask(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text. Votes are counted in one scan, spans found again and masked in a second."""
+    bounded(docs.sparkSession)
     codes = frozenset(accepted(materialize(extract(docs).where("size(cands) > 0").select("cands"), "votes")))
     at = docs.columns.index("text")
 

@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, drop_table, load, materialize, posix, shared_path, slices
+from .common import bounded, check_columns, drop_table, load, materialize, posix, shared_path, slices
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -41,7 +41,7 @@ DICTIONARY = 200_000
 LATTICE_CHARS = 32
 UNKNOWN_PENALTY = 10.0
 #: Words folded since that a worker keeps.
-MORE_WORDS = 150_000
+MORE_WORDS = 60_000
 
 
 def _key(word: str) -> str:
@@ -293,7 +293,7 @@ def count_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in slices(batches):
             for t in batch.column(0):
                 seen.update(pieces.keys(t.as_py()))
-                if len(seen) > 300_000:
+                if len(seen) > 200_000:
                     yield out()
                     seen.clear()
         if seen:
@@ -389,6 +389,7 @@ class Decoded(dict):
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """docs without text, with ids (the whole text's pieces) and decoded_sha256 (of the bytes that they decode to)."""
+    bounded(docs.sparkSession)
     path = dictionary(docs, pieces)
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*keep, F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded_sha256")).schema
