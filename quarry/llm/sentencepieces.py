@@ -293,7 +293,7 @@ def count_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in slices(batches):
             for t in batch.column(0):
                 seen.update(pieces.keys(t.as_py()))
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     yield out()
                     seen.clear()
         if seen:
