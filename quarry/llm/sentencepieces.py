@@ -193,51 +193,75 @@ class Pieces:
             a = b
         return out
 
+    def _found(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of symbols that follow each other, the rank of their merge, -1 where they don't, and what it makes."""
+        _, tables, keys, ranks, results = self._pairs
+        key = a.astype(np.int64) << 24 | b
+        at = tables[0][0][_slot(key, tables[0][1], 0)]
+        miss = np.flatnonzero((at >= 0) & (keys[at] != key))
+        at[miss] = -1
+        for k, (table, bits) in enumerate(tables[1:], 1):
+            found = table[_slot(key[miss], bits, k)]
+            hit = (found >= 0) & (keys[found] == key[miss])
+            at[miss[hit]] = found[hit]
+        rank = ranks[at]
+        rank[at < 0] = -1
+        return rank, results[at]
+
     def _merge_many(self, words: list[str], out: dict[str, bytes]) -> None:
-        of, tables, keys, ranks, results = self._pairs
         size = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(size[-1])
-        sym = of[np.frombuffer("".join([w.ljust(width) for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)]
-        sym[np.arange(width) >= size[:, None]] = -2
-        live = np.arange(len(words))
+        n, width = len(words), int(size[-1]) + 1  # a column stands behind the words, where links end
+        sym = self._pairs[0][np.frombuffer("".join([w.ljust(width) for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)]
+        inside = np.arange(width) < size[:, None]
+        sym[~inside] = -2
+        rank = np.full((n, width), -1, np.int32)
+        made = np.zeros((n, width), np.int32)
+        r, m = self._found(sym[:, :-1].reshape(-1), sym[:, 1:].reshape(-1))
+        rank[:, :-1], made[:, :-1] = r.reshape(n, -1), m.reshape(n, -1)
+        sym, rank, made, head = (x.reshape(-1) for x in (sym, rank, made, inside))
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), n)
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), n)
+        before[::width] = width - 1
+        live = np.arange(n) * width
         while len(live):
-            n, width = sym.shape
-            if width > 1:
-                key = sym[:, :-1].astype(np.int64) << 24 | sym[:, 1:]
-                flat = key.reshape(-1)
-                at = tables[0][0][_slot(flat, tables[0][1], 0)]
-                miss = np.flatnonzero((at >= 0) & (keys[at] != flat))
-                at[miss] = -1
-                for k, (table, bits) in enumerate(tables[1:], 1):
-                    found = table[_slot(flat[miss], bits, k)]
-                    hit = (found >= 0) & (keys[found] == flat[miss])
-                    at[miss[hit]] = found[hit]
-                at = at.reshape(key.shape)
-                rank = ranks[at]
-                rank[at < 0] = -1
-                best = rank.argmax(axis=1)
-                rows = np.arange(n)
-                done = rank[rows, best] < 0
-            else:
-                done = np.ones(n, bool)
-            if done.any():
-                part = sym[done]
-                have = part != -2
-                ends = np.cumsum(have.sum(axis=1)) * 4
-                flat = part[have].tobytes()
-                plain = (((part >= 0) & (part < len(self.names))) | ~have).all(axis=1)
-                start = 0
-                for i, end, ok in zip(live[done].tolist(), ends.tolist(), plain.tolist()):
-                    w = words[i]
-                    out[w] = flat[start:end] if ok else np.array(self.fold(w), np.int32).tobytes()
-                    start = end
-            if width < 2:
-                break
-            keep = ~done
-            live, sym, best = live[keep], sym[keep], best[keep]
-            sym[np.arange(len(live)), best] = results[at[keep][np.arange(len(live)), best]]
-            cols = np.arange(width - 1)
-            sym = np.take_along_axis(sym, cols + (cols > best[:, None]), 1)
+            best = rank.reshape(n, width)[live // width].argmax(axis=1) if len(live) < n else rank.reshape(n, width).argmax(axis=1)
+            at = live + best
+            open_ = rank[at] >= 0
+            live, at = live[open_], at[open_]
+            gone = live + after[at]
+            nxt, prev = after[gone], before[at]
+            sym[at] = made[at]
+            head[gone] = False
+            rank[gone] = -1
+            after[at] = nxt
+            right, left = live + np.minimum(nxt, width - 1), live + prev
+            before[right] = at - live
+            rank[at], made[at] = self._found(sym[at], sym[right])
+            rank[left], made[left] = self._found(sym[left], sym[at])
+        head = head.reshape(n, width)
+        part = sym.reshape(n, width)
+        ends = (np.cumsum(head.sum(axis=1)) * 4).tolist()
+        flat = part[head].tobytes()
+        plain = (((part >= 0) & (part < len(self.names))) | ~head).all(axis=1)
+        out.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        for i in np.flatnonzero(~plain).tolist():
+            out[words[i]] = np.array(self.fold(words[i]), np.int32).tobytes()
+
+    @cached_property
+    def _raw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        return np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(size) - size, size
+
+    def decode_many(self, words: list[bytes]) -> list[bytes]:
+        """The bytes that the pieces of each word (ids as 32-bit numbers) decode to."""
+        raw, start, size = self._raw
+        ids = np.frombuffer(b"".join(words), np.int32)
+        own = size[ids]
+        ends = np.cumsum(own)
+        out = raw[np.repeat(start[ids] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // 4
+        cut = np.r_[0, ends][last].tolist()
+        return [out[x:y] for x, y in zip([0, *cut], cut)]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -375,18 +399,6 @@ def dictionary_at(path: str) -> dict[str, bytes]:
     return out
 
 
-class Decoded(dict):
-    """The bytes that the pieces of a word decode to, by the word's name."""
-
-    def __init__(self, known: dict[str, bytes], raw: list[bytes]) -> None:
-        super().__init__()
-        self.known, self.raw = known, raw
-
-    def __missing__(self, key: str) -> bytes:
-        self[key] = out = b"".join([self.raw[i] for i in np.frombuffer(self.known[key], np.int32).tolist()])
-        return out
-
-
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """docs without text, with ids (the whole text's pieces) and decoded_sha256 (of the bytes that they decode to)."""
     bounded(docs.sparkSession)
@@ -395,14 +407,20 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     schema = docs.select(*keep, F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded_sha256")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(dictionary_at(path))
-        decoded = Decoded(known, pieces.raw)
-        most = len(known) + MORE_WORDS
+        base, base_raw = dictionary_at(path), None
+        known: dict[str, bytes] = {}
+        decoded: dict[str, bytes] = {}
         for batch in slices(batches):
+            if base_raw is None:
+                base_raw = dict(zip(base, pieces.decode_many(list(base.values()))))
+            if not known or len(known) > len(base) + MORE_WORDS:
+                known, decoded = dict(base), dict(base_raw)
             words = [pieces.keys(t.as_py()) for t in batch.column(len(keep))]
-            new = set(chain.from_iterable(words)).difference(known)
-            folded = pieces.fold_many(list(map(_word, new)))
-            known.update((w, folded[_word(w)]) for w in new)
+            new = list(set(chain.from_iterable(words)).difference(known))
+            named = list(map(_word, new))
+            ids_of = list(map(pieces.fold_many(named).__getitem__, named))
+            known.update(zip(new, ids_of))
+            decoded.update(zip(new, pieces.decode_many(ids_of)))
             sizes, shas, flat = [0], [], []
             for own in words:
                 ids = b"".join(map(known.__getitem__, own))
@@ -410,10 +428,6 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 shas.append(hashlib.sha256(raw[1:] if raw.startswith(b" ") else raw).hexdigest())
                 flat.append(ids)
                 sizes.append(sizes[-1] + len(ids) // 4)
-            if len(known) > most:
-                for w in new:
-                    del known[w]
-                    decoded.pop(w, None)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, pa.array(shas, pa.string())], names=schema.names)
 
