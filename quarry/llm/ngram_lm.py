@@ -44,8 +44,9 @@ QUANTA = 65_535
 LOWEST = 12.0
 SHARD_TOKENS = 1_000_000
 SHARD_WORDS = 1_000_000
-#: Tokens that a task counts or scores at a time.
+#: Tokens that a task counts at a time, and those that it scores: every shard of the model is asked once for each run.
 TOKENS = 200_000
+SCORED = 800_000
 END = b" "  # no word holds a space
 
 
@@ -60,8 +61,8 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return np.array([h(w) for w in words], dtype=np.uint64)
 
 
-def documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
-    """Runs of about TOKENS tokens: the tokens, the rows (batch-wise) and their numbers of tokens."""
+def documents(batches: Iterator[pa.RecordBatch], column: int, most: int = TOKENS) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """Runs of about so many tokens: the tokens, the rows (batch-wise) and their numbers of tokens."""
     for batch in batches:
         held, rows, sizes = [], [], []
         for i, t in enumerate(batch.column(column)):
@@ -69,7 +70,7 @@ def documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
             held += one
             rows.append(i)
             sizes.append(len(one))
-            if len(held) >= TOKENS:
+            if len(held) >= most:
                 yield held, rows, sizes, batch
                 held, rows, sizes = [], [], []
         if rows:
@@ -438,7 +439,7 @@ def scored(docs: DataFrame, root: str) -> DataFrame:
         words = trie.words
         n, v = words.total, words.n
         end = int(words.ids(word_hash([END]))[0])
-        for held, rows, sizes, batch in documents(batches, len(keep)):
+        for held, rows, sizes, batch in documents(batches, len(keep), SCORED):
             ids = encoded(words, held)
             distinct, back = np.unique(ids, return_inverse=True)
             known = distinct >= 0
