@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
     spark.conf.set("spark.checkpoint.dir", made)
