@@ -1,12 +1,17 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, found exactly through prefix filtering.
+"""Near copies by the Jaccard similarity of their five-word shingles: SimHash and its byte index first, prefix lists for the exact rest.
 
-Two sets of n and m >= n shingles with a similarity of 4/5 or more share a shingle among the first n // 5 + 1 and
+The SimHash fingerprints of the sets go through the inverted index of positional bytes with count filtering (`simhash.links`);
+what it links is verified by whole sets. Texts of a similarity of 4/5 differ in more bits than that index can promise to find
+(most of them in 5 to 9), so the rest is found through prefix filtering: two sets of n and m >= n shingles with a similarity
+of 4/5 or more share a shingle among the first n // 5 + 1 and
 m // 5 + 1 of them, in any order that all texts follow. So only those prefixes are posted. The order puts shingles
 that repeat in a sample of the documents last, the most frequent at the end, which keeps the lists of boilerplate
-out of most prefixes; the sample decides speed alone, not the result. Pairs of a list whose sizes allow the
-similarity are candidates, and are verified by their whole sets. Those lie in arrays that the tasks which made them wrote to
+out of most prefixes; the sample decides speed alone, not the result. Members of a list whose sizes allow the
+similarity are candidates. Neighbours in a list, by size, are verified together with what the fingerprints link; after that,
+only pairs of a list that are in different components so far. So a group of k near copies costs about k pairs a list,
+not k * k, and no group that a link would join stays apart. Sets lie in arrays that the tasks which made them wrote to
 the shared folder; a verifying task maps what its pairs name, so sets are never shuffled, however many pairs they are in.
-Texts of equal sets are one class throughout. A list costs the square of its distinct sets of like size; none is cut.
+Texts of equal sets are one class throughout. No list is cut.
 
 Defined cases: words are split at ASCII white space and lowered in ASCII; fewer than five words make one shingle; texts
 without words are copies of each other; groups are the components of the links; repeated rows are copies; an empty
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import check_columns, drop_table, keep_rows, materialize, numbered, posix, shared_path, shielded, slices, tidy
 from .components import components
 from .elias_fano import save_array
+from .simhash import links
 
 SHINGLE = 5
 #: Documents whose shingles are counted for the order, from how many of them on one is late, and how many are told apart.
@@ -54,6 +60,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out ^ (out >> MIX[2]))
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles, unsigned; 0 of none."""
+    ones = np.zeros(64, np.float32)
+    for k in range(0, len(s), 65_536):  # a product sums bits much faster than a sum over the narrow axis does
+        bits = np.unpackbits(s[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += np.ones(len(bits), np.float32) @ bits.astype(np.float32)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view("<u8")[0])
+
+
 def prefix(s: np.ndarray, late: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The first len(s) // 5 + 1 of a set, late ones last by their times."""
     n = len(s) // 5 + 1
@@ -69,26 +84,27 @@ def prefix(s: np.ndarray, late: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def _mapped(docs: DataFrame, keep: str, schema: str, of) -> DataFrame:
-    """docs (keep, text) with what `of` makes of each text: (hash of the set, size, values)."""
+    """docs (keep, text) with what `of` makes of each text: (hash of the set, size, fingerprint, values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first, sigs, sizes, values, held = 0, [], [], [], 0
+            first, sigs, sizes, fps, values, held = 0, [], [], [], [], 0
             for i, t in enumerate(b.column(1)):
                 s = shingles(t.as_py())
                 v = of(s)
                 sigs.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0)
                 sizes.append(len(s))
+                fps.append(fingerprint(s))
                 values.append(v)
                 held += len(v)
                 if held >= ROWS or i == b.num_rows - 1:
                     ends = np.r_[0, np.cumsum([len(x) for x in values])].astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, i + 1 - first), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=[keep, "sig", "n", "shingles"])
-                    first, sigs, sizes, values, held = i + 1, [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, i + 1 - first), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=[keep, "sig", "n", "fp", "shingles"])
+                    first, sigs, sizes, fps, values, held = i + 1, [], [], [], [], 0
             tidy()
 
-    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {schema}, sig long, n int, shingles array<long>")
+    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {schema}, sig long, n int, fp long, shingles array<long>")
 
 
 def late_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -101,62 +117,148 @@ def late_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def _within(key: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within lists sorted by (key, n, sig) whose sizes allow a similarity of 4/5, a bounded number at a time."""
-    a, b, held = [], [], 0
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The pairs (a, b) with a < b, each once."""
+    x, y = (np.concatenate(c) for c in zip(*found))
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], names=["a", "b"])
 
-    def out() -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.concatenate(a), np.concatenate(b)
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-        return x[new], y[new]
-
-    live, d = np.arange(len(key)), 0
-    while len(live):
-        d += 1
-        live = live[live + d < len(key)]
-        live = live[(key[live] == key[live + d]) & (5 * n[live].astype(np.int64) >= 4 * n[live + d].astype(np.int64))]
-        if len(live):
-            a.append(sig[live])
-            b.append(sig[live + d])
-            held += len(live)
-            if held >= 5 * ROWS:
-                yield out()
-                a, b, held = [], [], 0
-    if held:
-        yield out()
 
-
-def candidates(marks: DataFrame) -> DataFrame:
-    """(a, b): pairs of sets (sig, n, shingles of the prefix) that meet in a list."""
+def lists(marks: DataFrame) -> DataFrame:
+    """(n, sig): the sets that share a shingle of their prefixes, ascending by size; a list ends where the next size is too large for a similarity of 4/5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, sig = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
         def out(upto: int) -> Iterator[pa.RecordBatch]:
-            for a, b in _within(key[:upto], n[:upto], sig[:upto]):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            k, m, s = key[:upto], n[:upto], sig[:upto]
+            first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (4 * m[1:].astype(np.int64) > 5 * m[:-1].astype(np.int64))])
+            size = np.diff(np.r_[first, upto])
+            kept = np.repeat(size > 1, size)
+            size, m, s = size[size > 1], m[kept], s[kept]
+            ends = np.r_[0, np.cumsum(size)]
+            a = 0
+            while a < len(size):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + ROWS, side="right")) - 1)
+                at = pa.array((ends[a : b + 1] - ends[a]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(x[ends[a] : ends[b]])) for x in (m, s)], names=["n", "sig"])
+                a = b
 
         for batch in batches:
             key, n, sig = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((key, n, sig)))
-            if len(key):
+            if len(key) > ROWS:
                 new = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]
                 key, n, sig = key[new], n[new], sig[new]
                 cut = int(np.searchsorted(key, key[-1]))  # the last list may go on
-                yield from out(cut)
-                key, n, sig = key[cut:], n[cut:], sig[cut:]
-        yield from out(len(key))
+                if cut:
+                    yield from out(cut)
+                    key, n, sig = key[cut:], n[cut:], sig[cut:]
+        if len(key):
+            new = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]
+            key, n, sig = key[new], n[new], sig[new]
+            yield from out(len(key))
         tidy()
 
     postings = marks.select(F.explode("shingles").alias("key"), "n", "sig")
-    return postings.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    return postings.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(run, "n array<int>, sig array<long>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The members of a batch of lists: number of the list, size, set."""
+    size = np.diff(batch.column(0).offsets.to_numpy())
+    return np.repeat(np.arange(len(size)), size), batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+
+
+def neighbours(found: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets next to each other in a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, _, sig = _flat(batch)
+            i = np.flatnonzero(k[1:] == k[:-1])
+            if len(i):
+                yield _pairs([(sig[i], sig[i + 1])])
+        tidy()
+
+    return found.mapInArrow(run, "a long, b long").distinct()
+
+
+def fingerprinted(marks: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets whose fingerprints the byte index links, and sets of one fingerprint with the least of them."""
+    heads = materialize(marks.groupBy("fp").agg(F.min("sig").alias("head"), F.max("sig").alias("last")), "heads")
+    near = links(heads).distinct()
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    across = near.join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    same = marks.select("fp", "sig").join(heads.where("head != last"), "fp").where("sig != head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    return across.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def saved_roots(roots: DataFrame) -> str:
+    """Writes roots (node, root) as two arrays, ascending by node, which tasks map; 16 bytes a set with a link."""
+    path = posix(shared_path(roots.sparkSession, "roots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(path, exist_ok=True)
+        held = [(b.column(0).to_numpy().copy(), b.column(1).to_numpy().copy()) for b in batches]
+        node, root = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        save_array(f"{path}/node.npy", node)
+        save_array(f"{path}/root.npy", root)
+        yield pa.RecordBatch.from_arrays([pa.array([len(node)], pa.int64())], names=["n"])
+
+    roots.select("node", "root").repartition(1).sortWithinPartitions("node").mapInArrow(run, "n long").collect()  # one row
+    return path
+
+
+def root_of(sig: np.ndarray, node: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The roots of sets; a set without a link is its own."""
+    if not len(node):
+        return sig
+    at = np.minimum(np.searchsorted(node, sig), len(node) - 1)
+    return np.where(node[at] == sig, root[at], sig)
+
+
+def _across(k: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs within lists (number k) whose sizes allow a similarity of 4/5 and whose roots differ, a bounded number at a time."""
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+    kept = np.repeat(mixed, np.diff(np.r_[first, len(k)]))
+    k, n, sig, root = k[kept], n[kept].astype(np.int64), sig[kept], root[kept]
+    found, held, live, d = [], 0, np.arange(len(k)), 0
+    while len(live):
+        d += 1
+        live = live[live + d < len(k)]
+        live = live[(k[live] == k[live + d]) & (5 * n[live] >= 4 * n[live + d])]
+        i = live[root[live] != root[live + d]]
+        if len(i):
+            found.append((sig[i], sig[i + d]))
+            held += len(i)
+            if held >= 5 * ROWS:
+                yield _pairs(found)
+                found, held = [], 0
+    if held:
+        yield _pairs(found)
+
+
+def candidates(found: DataFrame, roots: str) -> DataFrame:
+    """(a, b): pairs of sets that meet in a list and are in different components so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linked = os.path.exists(f"{roots}/root.npy")  # no task writes an empty table
+        node, root = (np.load(f"{roots}/{c}.npy", mmap_mode="r") if linked else np.zeros(0, np.int64) for c in ("node", "root"))
+        for batch in batches:
+            k, n, sig = _flat(batch)
+            if len(k):
+                yield from _across(k, n, sig, root_of(sig, node, root))
+        tidy()
+
+    return found.mapInArrow(run, "a long, b long").distinct()
 
 
-def stored_sets(texts: DataFrame) -> DataFrame:
-    """(sig, file, at, n): where the set of each of texts lies, in files of the shared folder written by the task that met it."""
-    root = posix(shared_path(texts.sparkSession, "shingles"))
+def stored_sets(texts: DataFrame, root: str) -> DataFrame:
+    """(sig, file, at, n): where the set of each of texts lies, in files below root written by the task that met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(root, exist_ok=True)
@@ -166,7 +268,7 @@ def stored_sets(texts: DataFrame) -> DataFrame:
             name = uuid.uuid4().hex[:16]  # a repeated task writes files of its own
             save_array(f"{root}/{name}.npy", np.concatenate(sets))
             sigs = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([f"{root}/{name}.npy"] * len(sets)), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], names=["sig", "file", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([name] * len(sets)), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], names=["sig", "file", "at", "n"])
 
     return texts.select("text").mapInArrow(run, "sig long, file string, at long, n long")
 
@@ -176,8 +278,8 @@ def _mapped_file(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
 
 
-def verified(pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 4/5 or more."""
+def verified(pairs: DataFrame, places: DataFrame, root: str) -> DataFrame:
+    """The pairs (a, b) whose sets, stored below root, have a similarity of 4/5 or more; those without a place have not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, np.zeros(0, np.uint64))
@@ -185,8 +287,8 @@ def verified(pairs: DataFrame, places: DataFrame) -> DataFrame:
             keep = []
             for a, fa, sa, na, fb, sb, nb in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7))):
                 if last[0] != a:
-                    last = (a, np.array(_mapped_file(fa)[sa : sa + na]))
-                both = np.sort(np.concatenate([last[1], _mapped_file(fb)[sb : sb + nb]]), kind="stable")  # merges two sorted runs
+                    last = (a, np.array(_mapped_file(f"{root}/{fa}.npy")[sa : sa + na]))
+                both = np.sort(np.concatenate([last[1], _mapped_file(f"{root}/{fb}.npy")[sb : sb + nb]]), kind="stable")  # merges two sorted runs
                 keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * (na + nb))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         _mapped_file.cache_clear()
@@ -210,13 +312,19 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
     who = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_f", "_r").alias("_who")
     keyed = rows.select(who, "text")
     marks = materialize(_mapped(keyed, "_who", keyed.schema["_who"].dataType.simpleString(), lambda s: prefix(s, late, times)), "marks")
-    lows = materialize(marks.groupBy("sig").agg(F.min("_who").alias("low")), "classes")
-    pairs = materialize(candidates(marks), "candidates")
+    lows = materialize(marks.groupBy("sig").agg(F.min("_who").alias("low"), F.first("fp").alias("fp")), "classes")  # equal sets have equal fingerprints
+    met = materialize(lists(marks), "lists")
     drop_table(marks)
-    met = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(lows, "sig").select("low._f", "low._r"), "met")
-    places = materialize(stored_sets(keep_rows(rows, met, ["text"])), "sets")
-    drop_table(met)
-    near = materialize(verified(pairs, places), "near")
-    roots = components(near).select(F.col("node").alias("sig"), "root")
+    inside = met.select(F.explode("sig").alias("sig")).distinct()
+    root = posix(shared_path(docs.sparkSession, "shingles"))
+    named = materialize(inside.join(lows, "sig").select("low._f", "low._r"), "met")
+    places = materialize(stored_sets(keep_rows(rows, named, ["text"]), root), "sets")
+    drop_table(named)
+    near = materialize(verified(fingerprinted(lows).union(neighbours(met)).distinct(), places, root), "near")
+    roots = materialize(components(near), "roots")
+    more = materialize(verified(candidates(met, saved_roots(roots)), places, root), "more")
+    if more.limit(1).count():
+        roots = components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = roots.select(F.col("node").alias("sig"), "root")
     kept = lows.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig")).agg(F.min("low").alias("low")).select("low._f", "low._r")
     return keep_rows(rows, kept, cols)

@@ -551,3 +551,27 @@ def test_scores_with_two_words_of_context(spark, home, monkeypatch, tokens):
         assert math.isclose(r.score_3, want, rel_tol=1e-3)
         changed += abs(r.score_3 - r.score) > 1
     assert changed > 30
+
+
+def test_near_copies_through_the_byte_index(spark, tmp_path, monkeypatch):
+    """Fingerprints of the five-word sets go through the positional byte index; what it links is what brute force finds within two bits."""
+    r = random.Random(8)
+    rows = [(i, text(r, r.randint(150, 300))) for i in range(30)]
+    for i in range(30):
+        rows.append((100 + i, rows[i][1] + " tail" * (1 + i % 3)))
+    rows += [(200, ""), (201, None), (202, rows[3][1])]
+    sets = {near_copies.xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0: s for s in (near_copies.shingles(t) for _, t in rows)}
+    fps = {np.uint64(k).view(np.int64).item(): near_copies.fingerprint(s) for k, s in sets.items()}
+    for k, s in sets.items():
+        bits = [sum(int(h) >> b & 1 for h in s) for b in range(64)]
+        assert near_copies.fingerprint(s) == sum(1 << b for b in range(64) if 2 * bits[b] > len(s)), k
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = near_copies._mapped(docs, "doc_id", "long", lambda s: s)
+    got = {(x.a, x.b) for x in near_copies.fingerprinted(marks).collect()}
+    want = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    assert want == got and len(want) > 5
+    calls = []
+    monkeypatch.setattr(near_copies, "links", lambda f: calls.append(1) or simhash.links(f))
+    docs.write.parquet(f"{tmp_path}/d")
+    kept = near_copies.deduplicate(spark.read.parquet(f"{tmp_path}/d"))
+    assert calls and sorted(x.doc_id for x in kept.collect()) == [*range(30), 200]
