@@ -6,31 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import langid, mixing, near_copies, pii, sentencepieces
-from quarry.llm.common import load, materialize
+from quarry.llm.common import bounded, load, materialize
+
+#: Rows of an Arrow batch of whole texts in the stages: executors keep the buffers of the largest batches they met from stage to stage.
+BATCH_ROWS = 256
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language."""
+    bounded(spark, BATCH_ROWS)
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are alike by 0.8 or more."""
+    bounded(spark, BATCH_ROWS)
     return near_copies.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data masked; n_chars follows the text."""
+    bounded(spark, BATCH_ROWS)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document appears as often as the mix takes it."""
+    bounded(spark, BATCH_ROWS)
     return mixing.mix_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the pieces of every text."""
+    bounded(spark, BATCH_ROWS)
     made = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), sentencepieces.pieces_at(sentencepieces.MODEL))
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 

@@ -25,11 +25,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1_000
 
 
-def bounded(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, unless it asks for fewer."""
+def bounded(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's rows per Arrow batch to rows, unless it asks for fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

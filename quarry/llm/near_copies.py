@@ -9,7 +9,8 @@ that repeat in a sample of the documents last, the most frequent at the end, whi
 out of most prefixes; the sample decides speed alone, not the result. Members of a list whose sizes allow the
 similarity are candidates. Neighbours in a list, by size, are verified together with what the fingerprints link; after that,
 only pairs of a list that are in different components so far. So a group of k near copies costs about k pairs a list,
-not k * k, and no group that a link would join stays apart. Sets lie in arrays that the tasks which made them wrote to
+not k * k, and no group that a link would join stays apart. Of those pairs, ones whose parities (1,024 bits a set) differ in
+more bits than sets so alike can differ in shingles are no links and never leave the task. Sets lie in arrays that the tasks which made them wrote to
 the shared folder; a verifying task maps what its pairs name, so sets are never shuffled, however many pairs they are in.
 Texts of equal sets are one class throughout. No list is cut.
 
@@ -41,6 +42,8 @@ SHINGLE = 5
 SAMPLE, LATE, MOST_LATE = 20_000, 3, 200_000
 #: Values or pairs in an output batch.
 ROWS = 200_000
+#: Buckets of a parity, pieces that parities are saved in, list members whose parities a task holds, and pairs it compares at a time.
+BITS, PIECES, MEMBERS, BLOCK = 1_024, 256, 100_000, 8_192
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 33)]
 
 
@@ -196,42 +199,83 @@ def fingerprinted(marks: DataFrame) -> DataFrame:
     return across.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def saved_roots(roots: DataFrame) -> str:
-    """Writes roots (node, root) as two arrays, ascending by node, which tasks map; 16 bytes a set with a link."""
-    path = posix(shared_path(roots.sparkSession, "roots"))
+def parity(s: np.ndarray) -> bytes:
+    """Of each of BITS buckets of shingles, whether a set has an odd number; sets that differ in d shingles differ in d bits at most."""
+    odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _piece(sig: np.ndarray) -> np.ndarray:
+    return sig & (PIECES - 1)
+
+
+def saved_sides(places: DataFrame, roots: DataFrame) -> str:
+    """Writes root and parity of each of places (sig, bits) in PIECES pieces, arrays ascending by sig, which tasks map."""
+    path = posix(shared_path(places.sparkSession, "sides"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
-        held = [(b.column(0).to_numpy().copy(), b.column(1).to_numpy().copy()) for b in batches]
-        node, root = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
-        save_array(f"{path}/node.npy", node)
-        save_array(f"{path}/root.npy", root)
-        yield pa.RecordBatch.from_arrays([pa.array([len(node)], pa.int64())], names=["n"])
+        made, held = [], []
+
+        def flush() -> None:
+            sig, root, bits = (pa.chunked_array([b.column(i) for b in held]) for i in range(3))
+            sig = sig.to_numpy()
+            k = int(_piece(sig[:1])[0])
+            save_array(f"{path}/root-{k}.npy", root.to_numpy())
+            save_array(f"{path}/bits-{k}.npy", np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(sig), -1))
+            save_array(f"{path}/sig-{k}.npy", sig)
+            made.append(k)
+            held.clear()
+
+        for batch in batches:
+            k = _piece(batch.column(0).to_numpy())
+            cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
+            for x, y in zip(cuts, np.r_[cuts[1:], len(k)].astype(int)):
+                if held and int(_piece(held[0].column(0).to_numpy()[:1])[0]) != k[x]:
+                    flush()
+                held.append(batch.slice(x, y - x))
+        if held:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64())], names=["k"])
+        tidy()
 
-    roots.select("node", "root").repartition(1).sortWithinPartitions("node").mapInArrow(run, "n long").collect()  # one row
+    piece = F.col("sig").bitwiseAND(F.lit(PIECES - 1))
+    rooted = places.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "bits")
+    rooted.repartition(piece).sortWithinPartitions(piece, "sig").mapInArrow(run, "k long").collect()  # a row a piece
     return path
 
 
-def root_of(sig: np.ndarray, node: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """The roots of sets; a set without a link is its own."""
-    if not len(node):
-        return sig
-    at = np.minimum(np.searchsorted(node, sig), len(node) - 1)
-    return np.where(node[at] == sig, root[at], sig)
+def side(sig: np.ndarray, path: str, what: str) -> np.ndarray:
+    """The root or parity of sets that all have one saved."""
+    out = np.zeros((len(sig), BITS // 64), np.uint64) if what == "bits" else np.zeros(len(sig), np.int64)
+    if not len(sig):
+        return out
+    order = np.argsort(_piece(sig), kind="stable")
+    part = _piece(sig[order])
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
+        at = np.searchsorted(_mapped_file(f"{path}/sig-{part[a]}.npy"), sig[order[a:b]])
+        out[order[a:b]] = _mapped_file(f"{path}/{what}-{part[a]}.npy")[at]
+    return out
 
 
-def _across(k: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs within lists (number k) whose sizes allow a similarity of 4/5 and whose roots differ, a bounded number at a time."""
+def _across(k: np.ndarray, n: np.ndarray, sig: np.ndarray, path: str) -> Iterator[pa.RecordBatch]:
+    """Pairs within lists (number k) whose sizes and parities allow a similarity of 4/5 and whose roots differ, a bounded number at a time."""
+    root = side(sig, path, "root")
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
     kept = np.repeat(mixed, np.diff(np.r_[first, len(k)]))
     k, n, sig, root = k[kept], n[kept].astype(np.int64), sig[kept], root[kept]
+    own, at = np.unique(sig, return_inverse=True)
+    bits = side(own, path, "bits")
     found, held, live, d = [], 0, np.arange(len(k)), 0
     while len(live):
         d += 1
         live = live[live + d < len(k)]
         live = live[(k[live] == k[live + d]) & (5 * n[live] >= 4 * n[live + d])]
         i = live[root[live] != root[live + d]]
+        far = [9 * np.bitwise_count(bits[at[x]] ^ bits[at[x + d]]).sum(axis=1, dtype=np.int64) > n[x] + n[x + d] for x in (i[j : j + BLOCK] for j in range(0, len(i), BLOCK))]
+        i = i[~np.concatenate(far)] if far else i
         if len(i):
             found.append((sig[i], sig[i + d]))
             held += len(i)
@@ -242,23 +286,30 @@ def _across(k: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) ->
         yield _pairs(found)
 
 
-def candidates(found: DataFrame, roots: str) -> DataFrame:
-    """(a, b): pairs of sets that meet in a list and are in different components so far."""
+def candidates(found: DataFrame, path: str) -> DataFrame:
+    """(a, b): pairs of sets that meet in a list, are in different components so far, and may be similar by what is saved of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linked = os.path.exists(f"{roots}/root.npy")  # no task writes an empty table
-        node, root = (np.load(f"{roots}/{c}.npy", mmap_mode="r") if linked else np.zeros(0, np.int64) for c in ("node", "root"))
         for batch in batches:
-            k, n, sig = _flat(batch)
-            if len(k):
-                yield from _across(k, n, sig, root_of(sig, node, root))
+            ends = np.r_[0, np.cumsum(np.diff(batch.column(0).offsets.to_numpy()))]
+            a = 0
+            while a < batch.num_rows:  # about MEMBERS members at a time, whole lists
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + MEMBERS, side="right")) - 1)
+                yield from _across(*_flat(batch.slice(a, b - a)), path)
+                a = b
+        _mapped_file.cache_clear()
         tidy()
 
     return found.mapInArrow(run, "a long, b long").distinct()
 
 
+@lru_cache(maxsize=1_024)
+def _mapped_file(path: str) -> np.ndarray:
+    return np.load(path, mmap_mode="r")
+
+
 def stored_sets(texts: DataFrame, root: str) -> DataFrame:
-    """(sig, file, at, n): where the set of each of texts lies, in files below root written by the task that met it."""
+    """(sig, file, at, n, bits): where the set of each of texts lies, and its parity; in files below root written by the task that met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(root, exist_ok=True)
@@ -268,14 +319,9 @@ def stored_sets(texts: DataFrame, root: str) -> DataFrame:
             name = uuid.uuid4().hex[:16]  # a repeated task writes files of its own
             save_array(f"{root}/{name}.npy", np.concatenate(sets))
             sigs = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([name] * len(sets)), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], names=["sig", "file", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([name] * len(sets)), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([parity(x) for x in sets], pa.binary())], names=["sig", "file", "at", "n", "bits"])
 
-    return texts.select("text").mapInArrow(run, "sig long, file string, at long, n long")
-
-
-@lru_cache(maxsize=512)
-def _mapped_file(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    return texts.select("text").mapInArrow(run, "sig long, file string, at long, n long, bits binary")
 
 
 def verified(pairs: DataFrame, places: DataFrame, root: str) -> DataFrame:
@@ -322,7 +368,7 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
     drop_table(named)
     near = materialize(verified(fingerprinted(lows).union(neighbours(met)).distinct(), places, root), "near")
     roots = materialize(components(near), "roots")
-    more = materialize(verified(candidates(met, saved_roots(roots)), places, root), "more")
+    more = materialize(verified(candidates(met, saved_sides(places, roots)), places, root), "more")
     if more.limit(1).count():
         roots = components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     roots = roots.select(F.col("node").alias("sig"), "root")

@@ -575,3 +575,32 @@ def test_near_copies_through_the_byte_index(spark, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/d")
     kept = near_copies.deduplicate(spark.read.parquet(f"{tmp_path}/d"))
     assert calls and sorted(x.doc_id for x in kept.collect()) == [*range(30), 200]
+
+
+def test_large_groups_of_near_copies_cost_few_pairs(spark, tmp_path, monkeypatch):
+    """120 variants of one text and as many of a farther one: far fewer pairs are compared whole than the square of a group, and the groups are those of brute force."""
+    r = random.Random(12)
+    one = text(r, 400).split()
+    far = [w if k % 90 else "other" for k, w in enumerate(one)]
+    rows = []
+    for i in range(240):
+        w = list(one if i < 120 else far)
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = f"changed{r.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: near_copies.shingles(t) for i, t in rows}
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in sets for b in sets if a < b}
+    near = [(a, b) for (a, b), n in shared.items() if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))]
+    for (a, b), n in list(shared.items())[::97]:  # parities never rule a link out
+        x, y = (np.frombuffer(near_copies.parity(sets[k]), np.uint64) for k in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(sets[a]) + len(sets[b]) - 2 * n
+    root = {i: i for i in sets}
+    for _ in range(20):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    compared, whole = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a: compared.append(pairs.count()) or whole(pairs, *a))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    kept = near_copies.deduplicate(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root.values()))
+    assert len(near) > 7_000 > 1.5 * sum(compared) > 0
