@@ -15,6 +15,26 @@ for _b in range(256):
     NTH[_b, : len(_set)] = _set
 
 
+_1, _2, _3, _4, _5, _6 = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080, 0xFF))
+
+
+def nth_bit(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The place of the set bit of each word that has so many set bits before it; 64 where there is none.
+
+    Counts of the bytes are summed up, compared and looked up side by side within words.
+    """
+    u = np.uint64
+    n = words - ((words >> u(1)) & _1)
+    n = (n & _2) + ((n >> u(2)) & _2)
+    n = ((n + (n >> u(4))) & _3) * _4  # in each byte, the set bits up to its end
+    byte = np.bitwise_count(((left * _4) | _5) - n & _5).astype(np.uint64)
+    none = byte > u(7)
+    shift = np.minimum(byte, u(7)) << u(3)
+    rest = left - (((n << u(8)) >> shift) & _6)
+    at = NTH[((words >> shift) & _6).astype(np.int64), np.minimum(rest, u(7)).astype(np.int64)]
+    return np.where(none, 64, shift.astype(np.int64) + at)
+
+
 class EliasFano:
     """A non-decreasing sequence: high parts in unary, low parts packed to a fixed number of bits."""
 
@@ -70,13 +90,8 @@ class EliasFano:
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
         w = np.searchsorted(directory, k.astype(directory.dtype), side="right") - 1
         words = self.high[np.minimum(w, len(self.high) - 1)]
-        parts = np.ascontiguousarray(~words if flip else words).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
-        left = (k - directory[np.minimum(w, len(directory) - 1)].astype(np.int64)).astype(np.uint8)
-        at = (upto <= left[:, None]).sum(axis=1)
-        rows, byte = np.arange(len(at)), np.minimum(at, 7)
-        left = left - np.where(byte > 0, upto[rows, byte - 1], 0)
-        return w * 64 + np.where(at < 8, byte * 8 + NTH[parts[rows, byte], np.minimum(left, 7)], 64)
+        left = (k - directory[np.minimum(w, len(directory) - 1)].astype(np.int64)).astype(np.uint64)
+        return w * 64 + nth_bit(~words if flip else words, left)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)

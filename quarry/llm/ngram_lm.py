@@ -451,8 +451,9 @@ def scored(docs: DataFrame, root: str) -> DataFrame:
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             u = contexts(ids, end)
             u[starts] = end
-            at = np.searchsorted(distinct, u)
-            weight = np.where(u >= 0, gamma[np.minimum(at, len(distinct) - 1)], 1.0)
+            at = np.r_[0, back[:-1]]  # the context is the token before, or an end
+            at[starts] = np.minimum(np.searchsorted(distinct, end), len(distinct) - 1)
+            weight = np.where(u >= 0, gamma[at], 1.0)
             both = np.flatnonzero((u >= 0) & (ids >= 0))
             key, where = np.unique(u[both] << 32 | ids[both], return_inverse=True)
             seen, node = np.zeros(len(ids)), np.full(len(ids), -1, np.int64)

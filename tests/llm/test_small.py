@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import ann, langid, mixing, near_copies, ngram_lm, pii, quality, registry, sentencepieces, sharding, simhash, suffix_dedup
+from quarry.llm import ann, elias_fano, langid, mixing, near_copies, ngram_lm, pii, quality, registry, sentencepieces, sharding, simhash, suffix_dedup
 from quarry.llm.elias_fano import EliasFano
 from quarry.llm.suffixes import permuted_lcp, suffix_array
 
@@ -604,3 +604,13 @@ def test_large_groups_of_near_copies_cost_few_pairs(spark, tmp_path, monkeypatch
     kept = near_copies.deduplicate(spark.read.parquet(f"{tmp_path}/d"))
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root.values()))
     assert len(near) > 7_000 > 1.5 * sum(compared) > 0
+
+
+def test_nth_bit():
+    """Against a walk over the bits; 64 where a word has too few."""
+    r = random.Random(2)
+    for x in [r.getrandbits(64) for _ in range(40)] + [0, 1, 1 << 63, (1 << 64) - 1]:
+        places = [k for k in range(64) if x >> k & 1]
+        k = np.arange(64)
+        got = elias_fano.nth_bit(np.full(64, x, np.uint64), k.astype(np.uint64))
+        assert got.tolist() == places + [64] * (64 - len(places))
