@@ -98,21 +98,28 @@ def numbered(df: DataFrame) -> DataFrame:
         return numbered(materialize(df, "rows"))
 
 
-def side_table(df: DataFrame, tag: str) -> str:
-    """Writes df (with _f and _r) by file and in row order, so that a scan of the rows can look up what belongs to them."""
+def side_table(df: DataFrame, tag: str, block: int = 0) -> str:
+    """Writes df (with _f and _r) by file and in row order, so that a scan of the rows can look up what belongs to them.
+
+    One task writes what belongs to a file, or to so many of its rows.
+    """
     path = shared_path(df.sparkSession, tag)
-    df.repartition("_f").sortWithinPartitions("_f", "_r").write.partitionBy("_f").option("parquet.block.size", 4 << 20).parquet(path)
+    by = ["_f", "_b"] if block else ["_f"]
+    if block:
+        df = df.withColumn("_b", F.expr(f"_r div {block}"))
+    df.repartition(*by).sortWithinPartitions(*by, "_r").write.partitionBy(*by).option("parquet.block.size", 4 << 20).parquet(path)
     return path
 
 
-def side_rows(path: str, file: int, first: int, last: int) -> pa.Table | None:
+def side_rows(path: str, file: int, first: int, last: int, block: int = 0) -> pa.Table | None:
     """The rows of a side table that belong to rows first to last of a file; read where they are needed, a batch at a time."""
     fs, root = (pafs.LocalFileSystem(), posix(path)) if "://" not in path or path.startswith("file:") else pafs.FileSystem.from_uri(path)
-    folder = f"{root}/_f={file}"
-    if fs.get_file_info(folder).type == pafs.FileType.NotFound:
+    folders = [f"{root}/_f={file}/_b={b}" for b in range(first // block, last // block + 1)] if block else [f"{root}/_f={file}"]
+    folders = [x.path for x in fs.get_file_info(folders) if x.type != pafs.FileType.NotFound]
+    if not folders:
         return None
     where = (pads.field("_r") >= first) & (pads.field("_r") <= last)
-    return pads.dataset(folder, filesystem=fs, format="parquet").to_table(filter=where).sort_by("_r")
+    return pa.concat_tables(pads.dataset(x, filesystem=fs, format="parquet").to_table(filter=where).sort_by("_r") for x in folders)
 
 
 def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str], *more: str) -> DataFrame:

@@ -3,14 +3,14 @@
 Every WIN-byte window of the corpus belongs to one region: the run of windows that share their minimizer, the
 smallest hash among the window's K-byte grams. Equal windows have equal minimizers, so the hash of a
 minimizer (the anchor) routes all places where a window can repeat to one shard, and a window under an anchor
-that is unique repeats nowhere. Regions of equal content repeat as a whole. What is left, different regions
-under one anchor, is read again (only those bytes) and sorted: each shard concatenates its regions, builds the
-suffix array by induced sorting and the permuted common prefixes, and windows that share WIN bytes with a
-neighbour in the array repeat. An anchor with more than HOT different regions isn't gathered: its windows are
-counted by a 128-bit hash instead, which spreads them over all tasks.
+that is unique repeats nowhere. One pass over the regions by anchor and content tells them apart: regions of equal
+content repeat as a whole, and different regions under one anchor are read again (only those bytes) and sorted: each
+shard concatenates its regions, builds the suffix array by induced sorting and the permuted common prefixes, and
+windows that share WIN bytes with a neighbour in the array repeat. An anchor with more than HOT different regions
+isn't gathered: its windows are counted by a 128-bit hash instead, which spreads them over all tasks.
 
-Removed intervals are written by source file and row, and a last scan looks up those of each batch, removes
-them and hashes the rest. Texts are never shuffled.
+Removed intervals are written by source file and block of BLOCK rows, and a last scan looks up those of each batch,
+removes them and hashes the rest. Texts are never shuffled.
 
 Defined cases: a null text is empty and keeps nothing; texts shorter than WIN keep all their bytes; copies are
 removed everywhere, the first included; repeated rows are each other's copies; very long texts pass in parts
@@ -38,6 +38,12 @@ CHUNK = 1 << 19
 #: Bytes of a block whose suffixes are sorted together, and the number of regions from which an anchor is hot.
 SHARD = 2 << 20
 HOT = 4_096
+#: Rows of a source file whose places or intervals one task writes.
+BLOCK = 1 << 16
+#: Rows of regions that are told apart at a time.
+GATHERED = 50_000
+#: Bytes of texts whose regions are found together: what numpy passes over stays in the cache.
+TOGETHER = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -86,18 +92,21 @@ def minimizers(h: np.ndarray) -> np.ndarray:
     return (np.minimum(back[:m], fore[SPAN - 1 : SPAN - 1 + m]) & np.uint64((1 << 20) - 1)).astype(np.int64)
 
 
-def regions(text: bytes) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, np.ndarray]]:
-    """(anchor hashes, content hashes, starts, lengths in bytes) of a text's regions."""
-    view = memoryview(text)
-    data = np.frombuffer(text, np.uint8)
-    for c in range(0, len(text) - WIN + 1, CHUNK):
-        part = data[c : c + CHUNK + WIN - 1]
-        h = gram_hashes(part)
-        at = minimizers(h)
-        lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        hi = np.r_[lo[1:], len(at)] - 1
-        starts, ends = lo + c, hi + c + WIN
-        yield h[at[lo]], [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], starts, ends - starts
+def regions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hashes, content hashes, text numbers, starts, lengths in bytes) of the regions of texts or their parts, each of WIN bytes at least."""
+    whole = b"".join(texts)
+    view = memoryview(whole)
+    sizes = np.array([len(t) for t in texts])
+    first = np.cumsum(sizes) - sizes
+    h = gram_hashes(np.frombuffer(whole, np.uint8))
+    inside = np.repeat(np.tile([1, 0], len(texts)), np.stack([sizes - WIN + 1, np.full(len(texts), WIN - 1)], 1).reshape(-1))[: len(whole) - WIN + 1]
+    place = np.flatnonzero(inside)  # where windows start that end in their text
+    at = minimizers(h)[place]
+    lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    starts, ends = place[lo], place[np.r_[lo[1:], len(at)] - 1] + WIN
+    rh = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+    k = np.searchsorted(first, starts, side="right") - 1
+    return h[at[lo]], rh, k, starts - first[k], ends - starts
 
 
 ROW = "_f long, _r long"
@@ -107,32 +116,82 @@ def region_table(docs: DataFrame) -> DataFrame:
     """(ah, rh, _f, _r, lo, len): the regions of all texts."""
     names = ["ah", "rh", "_f", "_r", "lo", "len"]
 
+    def made(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        f, r, c = (np.array([x[k] for x in held], np.int64) for k in range(3))
+        ah, rh, k, lo, size = regions([x[3] for x in held])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ah.view(np.int64), rh.view(np.int64), f[k], r[k], c[k] + lo, size)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[list] = [[] for _ in names]
-            count = 0
-            for i, t in enumerate(batch.column(2)):
+            held: list[tuple[int, int, int, bytes]] = []  # file, row, first byte, part of its text
+            size = 0
+            for f, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(text) < WIN:
-                    continue
-                f, r = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for ah, rh, lo, size in regions(text):
-                    n = len(ah)
-                    for x, v in zip(held, (ah.view(np.int64), np.array(rh, np.uint64).view(np.int64), np.full(n, f), np.full(n, r), lo, size)):
-                        x.append(v)
-                    count += n
-                if count > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names=names)
-                    held, count = [[] for _ in names], 0
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names=names)
+                for c in range(0, len(text) - WIN + 1, CHUNK):
+                    part = text[c : c + CHUNK + WIN - 1]
+                    if held and size + len(part) > TOGETHER:
+                        yield made(held)
+                        held, size = [], 0
+                    held.append((f, r, c, part))
+                    size += len(part)
+            if held:
+                yield made(held)
 
     return docs.select("_f", "_r", "text").mapInArrow(run, f"ah long, rh long, {ROW}, lo long, len long")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The columns of about so many rows at a time, and whether these are the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if sum(map(len, held)) >= rows:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns], False
+            held = []
+        if len(batch):
+            held.append(batch)
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns], True
+
+
+def told_apart(table: DataFrame, rows: int = GATHERED) -> DataFrame:
+    """(ah, n, _f, _r, lo, len): with n = 0 every region whose content repeats; else one region of each content, with
+    its number of places n, under the anchors that have several contents."""
+    names = ["ah", "n", "_f", "_r", "lo", "len"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] | None = None  # the last row so far, whose successor isn't known
+        before, other = 0, False  # earlier rows of its class; whether its anchor has a class before
+        place: np.ndarray | None = None  # where its class was first met
+        for cols, final in _gathered(batches, rows):
+            if last is not None:
+                cols = [np.r_[x, y] for x, y in zip(last, cols)]
+            ah, rh, *at = cols
+            m = len(ah)
+            anchor = np.r_[True, ah[1:] != ah[:-1]]
+            first = np.flatnonzero(anchor | np.r_[True, rh[1:] != rh[:-1]])
+            n = np.diff(np.r_[first, m])
+            repeats = np.repeat(np.r_[n[0] + before, n[1:]] > 1, n)
+            n[0] += before
+            inner = ~anchor[first]
+            inner[0] = other
+            places = np.stack([x[first] for x in at])
+            if place is not None:
+                places[:, 0] = place
+            mixed = inner | np.r_[inner[1:], False]
+            if not final:
+                repeats[-1] = mixed[-1] = False
+            again, kinds = np.flatnonzero(repeats), np.flatnonzero(mixed)
+            out = [ah[np.r_[again, first[kinds]]], np.r_[np.zeros(len(again), np.int64), n[kinds]], *(np.r_[x[again], y[kinds]] for x, y in zip(at, places))]
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+            last, before, other, place = [x[-1:] for x in cols], int(n[-1]) - 1, bool(inner[-1]), places[:, -1].copy()
+
+    return table.repartition("ah").sortWithinPartitions("ah", "rh").mapInArrow(run, f"ah long, n long, {ROW}, lo long, len long")
+
+
 def read_regions(docs: DataFrame, places: str) -> DataFrame:
-    """(ah, rh, n, _f, _r, lo, text) of the regions that a side table names."""
-    names = ["ah", "rh", "n", "_f", "_r", "lo", "text"]
+    """(ah, n, _f, _r, lo, text) of the regions that a side table names."""
+    names = ["ah", "n", "_f", "_r", "lo", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, wanted in _looked_up(batches, places):
@@ -140,16 +199,16 @@ def read_regions(docs: DataFrame, places: str) -> DataFrame:
             out = []
             index = {k: i for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))}
             for f, w in wanted:
-                for ah, rh, n, r, lo, size in zip(*(w.column(c).to_pylist() for c in ("ah", "rh", "n", "_r", "lo", "len"))):
+                for ah, n, r, lo, size in zip(*(w.column(c).to_pylist() for c in ("ah", "n", "_r", "lo", "len"))):
                     if (f, r) not in index:
                         continue
                     if row != (f, r):
                         row, text = (f, r), batch.column(2)[index[f, r]].as_py().encode("utf-8", "surrogatepass")
-                    out.append((ah, rh, n, f, r, lo, text[lo : lo + size]))
+                    out.append((ah, n, f, r, lo, text[lo : lo + size]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(zip(*out))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out))], names=names)
 
-    return docs.select("_f", "_r", "text").mapInArrow(run, f"ah long, rh long, n long, {ROW}, lo long, text binary")
+    return docs.select("_f", "_r", "text").mapInArrow(run, f"ah long, n long, {ROW}, lo long, text binary")
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, pa.Table]]]]:
@@ -159,7 +218,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[p
         found = []
         for x in np.unique(f):
             own = r[f == x]
-            if (w := side_rows(path, int(x), int(own.min()), int(own.max()))) is not None:
+            if (w := side_rows(path, int(x), int(own.min()), int(own.max()), BLOCK)) is not None:
                 found.append((int(x), w))
         yield batch, found
 
@@ -196,8 +255,8 @@ def sorted_shards(texts: DataFrame) -> DataFrame:
     """(_f, _r, a, b): intervals of repeated windows, found in suffix arrays over the regions of whole anchors."""
 
     def flush(held: list[tuple]) -> list[tuple]:
-        marks = repeated_windows([(h[2], h[6]) for h in held])
-        return [(h[3], h[4], a, b) for h, m in zip(held, marks) if h[2] == 1 for a, b in intervals(m, h[5])]
+        marks = repeated_windows([(h[1], h[5]) for h in held])
+        return [(h[2], h[3], a, b) for h, m in zip(held, marks) if h[1] == 1 for a, b in intervals(m, h[4])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -208,14 +267,14 @@ def sorted_shards(texts: DataFrame) -> DataFrame:
                     out += flush(held)
                     held, size = [], 0
                 held.append(h)
-                size += len(h[6])
+                size += len(h[5])
             if out:
                 yield _interval_batch(out)
                 out = []
         if held and (out := flush(held)):
             yield _interval_batch(out)
 
-    return texts.select("ah", "rh", "n", "_f", "_r", "lo", "text").repartition("ah").sortWithinPartitions("ah").mapInArrow(run, f"{ROW}, a long, b long")
+    return texts.select("ah", "n", "_f", "_r", "lo", "text").repartition("ah").sortWithinPartitions("ah").mapInArrow(run, f"{ROW}, a long, b long")
 
 
 def _interval_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -226,34 +285,32 @@ def counted_windows(texts: DataFrame) -> DataFrame:
     """The same for hot anchors: windows are counted by hash, map-side first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            out = []
-            for _, _, n, f, r, lo, t in zip(*(c.to_pylist() for c in batch.columns)):
-                for k in range(len(t) - WIN + 1):
-                    d = xxhash.xxh3_128_intdigest(t[k : k + WIN])
-                    out.append(((d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), n, f, r, lo + k))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["w1", "w2", "n", "_f", "_r", "a"])
-
-    w = texts.select("ah", "rh", "n", "_f", "_r", "lo", "text").mapInArrow(run, f"w1 long, w2 long, n long, {ROW}, a long")
+            texts = batch.column(4).to_pylist()
+            size = np.array([len(t) - WIN + 1 for t in texts], np.int64)
+            if not len(size):
+                continue
+            w = np.frombuffer(b"".join([digest(v[k : k + WIN]) for v in map(memoryview, texts) for k in range(len(v) - WIN + 1)]), np.int64).reshape(-1, 2)
+            n, f, r, lo = (np.repeat(batch.column(k).to_numpy(), size) for k in range(4))
+            a = lo + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+            for k in range(0, len(w), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in (w[:, 0].copy(), w[:, 1].copy(), n, f, r, a)], names=["w1", "w2", "n", "_f", "_r", "a"])
+
+    w = texts.select("n", "_f", "_r", "lo", "text").mapInArrow(run, f"w1 long, w2 long, n long, {ROW}, a long")
     often = w.groupBy("w1", "w2").agg(F.sum("n").alias("places")).where("places > 1")
     return w.where("n = 1").join(often, ["w1", "w2"], "left_semi").select("_f", "_r", "a", (F.col("a") + WIN).alias("b"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(_f, _r, a, b): intervals that cover every repeated window of docs (with _f, _r, text)."""
-    table = region_table(docs)
-    anchors = materialize(table.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("rh").alias("x"), F.max("rh").alias("y")).where("c > 1").select("ah", F.expr("x != y").alias("mixed")), "anchors")
-    often = materialize(table.join(anchors, "ah"), "regions")
-    interval = lambda df: df.select("_f", "_r", F.col("lo").alias("a"), (F.col("lo") + F.col("len")).alias("b"))
-    alike = interval(often.where("NOT mixed"))
-    mixed = often.where("mixed").drop("mixed")
-    classes = materialize(mixed.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_f", "_r", "lo", "len")).alias("p")).select("ah", "rh", "n", "p.*"), "classes")
-    copies = interval(mixed.join(classes.where("n > 1").select("ah", "rh"), ["ah", "rh"], "left_semi"))
-    texts = materialize(read_regions(docs, side_table(classes, "places")), "texts")
+    regions = materialize(told_apart(region_table(docs)), "regions")
+    alike = regions.where("n = 0").select("_f", "_r", F.col("lo").alias("a"), (F.col("lo") + F.col("len")).alias("b"))
+    classes = regions.where("n > 0")
+    texts = materialize(read_regions(docs, side_table(classes, "places", BLOCK)), "texts")
     hot = materialize(classes.groupBy("ah").count().where(F.col("count") > HOT).select("ah"), "hot")
     cool = sorted_shards(texts.join(hot, "ah", "left_anti"))
-    return alike.unionByName(copies).unionByName(cool).unionByName(counted_windows(texts.join(hot, "ah", "left_semi")))
+    return alike.unionByName(cool).unionByName(counted_windows(texts.join(hot, "ah", "left_semi")))
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -266,7 +323,7 @@ def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def removed(docs: DataFrame, keep: list[str], output: str) -> DataFrame:
     """For each row of docs: the columns keep, then n_bytes, n_removed, n_spans and the remaining bytes or their hash."""
-    path = side_table(repeated(docs), "intervals")
+    path = side_table(repeated(docs), "intervals", BLOCK)
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add(output, "string")
     head = len(keep)
 

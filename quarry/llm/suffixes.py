@@ -78,21 +78,32 @@ def _place(s: np.ndarray, small: np.ndarray, sa: np.ndarray, edge: np.ndarray, r
 
 
 def doubled(s: np.ndarray) -> np.ndarray:
-    """The suffix array of a string over a large alphabet, by sorting prefixes of doubling length."""
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    """The suffix array of a string over a large alphabet, by sorting prefixes of doubling length.
+
+    A rank is the place of the first suffix of its prefix; only suffixes that share theirs are sorted on.
+    """
     n, h = len(s), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1 if h < n else 0
-        key = rank * (n + 2) + after
-        sa = np.argsort(key, kind="stable")
-        k = key[sa]
-        new = np.empty(n, np.int64)
-        new[sa] = np.cumsum(np.r_[0, k[1:] != k[:-1]])
-        rank = new
+    sa = np.argsort(s)
+    k = s[sa]
+    new = np.r_[True, k[1:] != k[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    places = np.flatnonzero(~(new & np.r_[new[1:], True]))  # in the array, those that aren't settled
+    while len(places) and h < 2 * n:
+        live = sa[places]
+        own = rank[live]
+        after = np.zeros(len(live), np.int64)
+        inside = live + h < n
+        after[inside] = rank[live[inside] + h] + 1
+        key = own * (n + 2) + after
+        order = np.argsort(key)
+        live, key = live[order], key[order]
+        sa[places] = live
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[live] = np.maximum.accumulate(np.where(new, places, 0))
+        places = places[~(new & np.r_[new[1:], True])]
         h *= 2
-        if rank[sa[-1]] == n - 1 or h >= 2 * n:
-            return sa
+    return sa
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -151,14 +162,22 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     fresh = (phi <= 0) | (i == 0) | (text[i - 1] != text[np.maximum(phi, 1) - 1])
     at = i[fresh & (phi >= 0)]
     out = np.zeros(n, np.int64)
-    other, got, live = phi[at], np.zeros(len(at), np.int64), np.arange(len(at))
+    x, y = at, phi[at]
+    most = n - np.maximum(x, y)
+    padded = np.zeros(n + 4, np.uint16)
+    padded[:n] = text
+    four = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (n + 1, 8), (2, 1))
+    words = np.ascontiguousarray(four).view(np.uint64).reshape(-1)  # four letters from each place on
+    got, live, d = most.copy(), np.arange(len(at)), 0
     while len(live):
-        x, y = at[live] + got[live], other[live] + got[live]
-        ok = (x < n) & (y < n)
-        live, x, y = live[ok], x[ok], y[ok]
-        eq = text[x] == text[y]
-        live = live[eq]
-        got[live] += 1
+        differ = words[x[live] + d] ^ words[y[live] + d]
+        stop = differ != 0
+        ended = live[stop]
+        low = differ[stop]
+        got[ended] = np.minimum(most[ended], d + (np.bitwise_count((low & -low) - np.uint64(1)).astype(np.int64) >> 4))
+        d += 4
+        live = live[~stop]
+        live = live[most[live] > d]
     out[at] = got
     last = np.maximum.accumulate(np.where(fresh, i, 0))
     return np.maximum(0, out[last] - (i - last))

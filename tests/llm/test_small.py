@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,8 +13,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import ann, elias_fano, langid, mixing, near_copies, ngram_lm, pii, quality, registry, sentencepieces, sharding, simhash, suffix_dedup
+from quarry.llm.common import posix, side_rows, side_table
 from quarry.llm.elias_fano import EliasFano
 from quarry.llm.suffixes import permuted_lcp, suffix_array
 
@@ -491,6 +494,46 @@ def test_repeats(spark, home, monkeypatch, tmp_path, hot):
         assert x.kept_sha256 == hashlib.sha256(rest).hexdigest()
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_regions_told_apart(spark, home, monkeypatch, rows):
+    """One pass over the regions finds copies and contents, wherever its parts end."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 2)
+    r = random.Random(rows)
+    made = [(a := r.randrange(12), 100 * a + r.randrange(1 + a % 4), 1, k, 5 * k, 200 + a) for k in range(90)] + [(50, 1, 1, 900, 0, 200), (51, 1, 1, 901, 0, 200), (51, 2, 1, 902, 0, 200)]
+    try:
+        got = suffix_dedup.told_apart(spark.createDataFrame(made, "ah long, rh long, _f long, _r long, lo long, len long"), rows).collect()
+    finally:
+        spark.conf.set(name, before)
+    n = Counter((x[0], x[1]) for x in made)
+    content = {x[3]: x[:2] for x in made}
+    several = {a for a in {x[0] for x in made} if len({x[1] for x in made if x[0] == a}) > 1}
+    assert sorted(tuple(x)[2:] for x in got if x.n == 0) == sorted(x[2:] for x in made if n[x[:2]] > 1)
+    assert sorted((content[x._r], x.n) for x in got if x.n) == sorted((k, c) for k, c in n.items() if k[0] in several)
+
+
+def test_side_tables_in_blocks(spark, home):
+    """What belongs to one large file is written by several tasks and found again."""
+    df = spark.range(1000).select(F.lit(7).cast("long").alias("_f"), F.col("id").alias("_r"), (F.col("id") * 3).alias("x"))
+    path = side_table(df, "blocks", 100)
+    assert len(os.listdir(f"{posix(path)}/_f=7")) == 10
+    assert side_rows(path, 7, 95, 312, 100).column("x").to_pylist() == [3 * k for k in range(95, 313)]
+    assert side_rows(path, 7, 1000, 1005, 100) is None and side_rows(path, 8, 0, 5, 100) is None
+
+
+def test_suffix_array_of_long_repeats():
+    """Prefixes that stay alike for long, and common ones over the ends of four-letter words, against sorting."""
+    r = random.Random(1)
+    for n in (1, 2, 3, 4, 5, 8, 31, 64):
+        t = np.array(([r.randrange(3) for _ in range(n)] * 40)[: 40 * n - r.randrange(n)])
+        sa = suffix_array(t)
+        assert list(sa) == sorted(range(len(t)), key=lambda i: list(t[i:]))
+        lcp = permuted_lcp(t, sa)
+        for a, b in zip(sa, sa[1:]):
+            assert lcp[b] == next((e for e in range(len(t) - max(a, b)) if t[a + e] != t[b + e]), len(t) - max(a, b))
+
+
 def test_kmeans_with_few_points():
     x = np.array([[0.0, 0], [1, 1], [1, 1]])
     assert len(ann.kmeans(x, 5)) == 2
