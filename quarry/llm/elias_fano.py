@@ -39,7 +39,9 @@ class EliasFano:
     """A non-decreasing sequence: high parts in unary, low parts packed to a fixed number of bits."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
-        self.n, self.bits, self.low, self.high, self.ones, self.zeros = n, bits, low, high, ones, zeros
+        self.n, self.bits = n, bits
+        self.low, self.high, self.ones, self.zeros = map(np.asarray, (low, high, ones, zeros))  # plain views of mapped files
+        self.rows = np.lib.stride_tricks.as_strided(self.low, (max(1, len(self.low) - 7), 8), (1, 1))
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -83,8 +85,7 @@ class EliasFano:
             return np.zeros(len(i), np.int64)
         at = i * self.bits
         byte = at >> 3
-        rows = np.lib.stride_tricks.as_strided(self.low, (max(1, len(self.low) - 7), 8), (1, 1))
-        word = np.ascontiguousarray(rows[byte]).view(np.uint64).reshape(-1)
+        word = np.ascontiguousarray(self.rows[byte]).view(np.uint64).reshape(-1)
         return ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:

@@ -26,12 +26,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,49 +50,74 @@ SCORED = 800_000
 END = b" "  # no word holds a space
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    out = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out.append(END)
-    return out
-
-
 def word_hash(words: list[bytes]) -> np.ndarray:
     h = xxhash.xxh3_64_intdigest
     return np.array([h(w) for w in words], dtype=np.uint64)
 
 
-def documents(batches: Iterator[pa.RecordBatch], column: int, most: int = TOKENS) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
-    """Runs of about so many tokens: the tokens, the rows (batch-wise) and their numbers of tokens."""
+def documents(batches: Iterator[pa.RecordBatch], column: int, most: int = TOKENS) -> Iterator[tuple[np.ndarray, list[bytes], list[int], list[int], pa.RecordBatch]]:
+    """Runs of about so many tokens: numbers of the tokens, the distinct words that they name, the rows (batch-wise) and their numbers of tokens."""
     for batch in batches:
-        held, rows, sizes = [], [], []
-        for i, t in enumerate(batch.column(column)):
-            one = tokens_of(t.as_py())
-            held += one
-            rows.append(i)
-            sizes.append(len(one))
-            if len(held) >= most:
-                yield held, rows, sizes, batch
-                held, rows, sizes = [], [], []
-        if rows:
-            yield held, rows, sizes, batch
+        texts = batch.column(column)
+        bound = max(1, most // 32)  # rows that are split at a time, as long as their texts are short
+        a = 0
+        while a < len(batch):
+            held, sizes, n = [], [], 0
+            first = a
+            while a < len(batch) and n < most:
+                step = bound
+                part = texts.slice(a, step)
+                while step > 1 and part.nbytes > 8 * most:
+                    step = max(1, step // 2)
+                    part = texts.slice(a, step)
+                words, size = split(part)
+                ends = np.cumsum(size + 1) + n
+                take = min(len(size), int(np.searchsorted(ends, most)) + 1)
+                held.append(words.slice(0, int(size[:take].sum())))
+                sizes.append(size[:take])
+                n = int(ends[take - 1])
+                a += take
+            size = np.concatenate(sizes)
+            coded = pa.chunked_array(held).combine_chunks().dictionary_encode()
+            distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+            last = np.zeros(n, bool)
+            last[np.cumsum(size + 1) - 1] = True
+            codes = np.full(n, len(distinct))
+            codes[~last] = coded.indices.to_numpy()
+            yield codes, [*distinct, END], list(range(first, a)), (size + 1).tolist(), batch
         tidy()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, and their number in each; a null text has none."""
+    whole = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower misreads arrays whose bytes don't begin at 0
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole.cast(pa.large_string()), "")))
+    words = lists.flatten()
+    filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    until = np.r_[0, np.cumsum(filled)]
+    return words.filter(pa.array(filled)), np.diff(until[np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, c): word hashes as signed longs, and counts, over all of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(word_hash(list(seen)).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["h", "c"])
-
-        for held, *_ in documents(batches, 0):
-            seen.update(held)
-            if len(seen) > 200_000:
+            h, c = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(c, first))], names=["h", "c"])
+
+        for codes, distinct, *_ in documents(batches, 0):
+            count = np.bincount(codes, minlength=len(distinct))
+            waiting.append((word_hash(distinct), count))
+            if sum(len(h) for h, _ in waiting) > 5 * TOKENS:
                 yield out()
-                seen = Counter()
-        if seen:
+        if waiting:
             yield out()
 
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -215,13 +240,6 @@ def _before(root: str, k: int) -> np.ndarray:
     return np.cumsum(c) - c
 
 
-def encoded(words: Words, held: list[bytes]) -> np.ndarray:
-    """Word ids of tokens, -1 where unknown."""
-    distinct = list(set(held))
-    ids = dict(zip(distinct, words.ids(word_hash(distinct)).tolist()))
-    return np.fromiter(map(ids.__getitem__, held), np.int64, len(held))
-
-
 def contexts(ids: np.ndarray, end: int) -> np.ndarray:
     """The token before each token; a text begins after an end."""
     return np.r_[end, ids[:-1]]
@@ -246,8 +264,8 @@ def count_triples(docs: DataFrame, root: str) -> DataFrame:
             for a in range(0, len(key), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (s, key, w, c)], names=["s", "key", "w", "c"])
 
-        for held, *_ in documents(batches, 0):
-            ids = encoded(words, held)
+        for codes, distinct, *_ in documents(batches, 0):
+            ids = words.ids(word_hash(distinct))[codes]
             end = int(ids[-1])
             after = np.r_[ids[1:], -1].astype(np.int32)
             after[ids == end] = -1
@@ -361,7 +379,7 @@ class Trie:
     @lru_cache(maxsize=256)  # noqa: B019
     def shard(self, s: int, level: int = 2) -> tuple[EliasFano, EliasFano, np.ndarray]:
         root = self.root if level == 2 else f"{self.root}/{level}"
-        return EliasFano.load(f"{root}/pointers-{s}"), EliasFano.load(f"{root}/children-{s}"), np.load(f"{root}/probabilities-{s}.npy", mmap_mode="r")
+        return EliasFano.load(f"{root}/pointers-{s}"), EliasFano.load(f"{root}/children-{s}"), np.asarray(np.load(f"{root}/probabilities-{s}.npy", mmap_mode="r"))
 
     @lru_cache(maxsize=128)  # noqa: B019
     def weights(self, s: int) -> np.ndarray:
@@ -397,7 +415,7 @@ class Trie:
     def triple(self, node: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Discounted probabilities of words (-1: unknown) after pairs, given by their nodes, and the weights of the shorter context."""
         seen, weight = np.zeros(len(node)), np.ones(len(node))
-        order = np.argsort(node, kind="stable")
+        order = np.argsort(node)
         part = node[order] >> 32
         for k in np.unique(part):
             at = order[np.searchsorted(part, k) : np.searchsorted(part, k, side="right")]
@@ -439,9 +457,10 @@ def scored(docs: DataFrame, root: str) -> DataFrame:
         words = trie.words
         n, v = words.total, words.n
         end = int(words.ids(word_hash([END]))[0])
-        for held, rows, sizes, batch in documents(batches, len(keep), SCORED):
-            ids = encoded(words, held)
-            distinct, back = np.unique(ids, return_inverse=True)
+        for codes, named, rows, sizes, batch in documents(batches, len(keep), SCORED):
+            own = words.ids(word_hash(named))
+            distinct, back = np.unique(own, return_inverse=True)
+            ids, back = own[codes], back[codes]
             known = distinct >= 0
             count = np.zeros(len(distinct))
             count[known] = words.get("count", distinct[known])

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -446,6 +447,21 @@ def test_scores(spark, home):
         assert math.isclose(r.score, s, rel_tol=1e-3)
 
 
+def test_words_in_arrow():
+    """Runs of tokens, against splitting texts one by one; batches that begin within a buffer included."""
+    r = random.Random(2)
+    marks = [chr(k) for k in range(128)] + ["é", "É", "\x85", "\xa0", "\u2003", "漢"]
+    texts = ["".join(r.choice(marks) for _ in range(r.choice([0, 1, 9, 300]))) if k % 7 else None for k in range(120)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(texts)], names=["id", "text"])
+    for batches, most in (([whole], 10_000), ([whole], 50), ([whole.slice(0, 37), whole.slice(37, 50), whole.slice(87)], 200), ([whole], 1)):
+        got = []
+        for codes, words, rows, sizes, batch in ngram_lm.documents(iter(batches), 1, most):
+            assert len(set(words)) == len(words) and len(codes) == sum(sizes) and (len(rows) == 1 or sum(sizes[:-1]) < most)
+            ends = np.cumsum(sizes)
+            got += [(batch.column(0)[k].as_py(), [words[c] for c in codes[b - n : b]]) for k, n, b in zip(rows, sizes, ends)]
+        assert got == [(k, [*(t or "").encode().lower().split(), ngram_lm.END]) for k, t in enumerate(texts)]
+
+
 def test_elias_fano():
     for s in range(60):
         r = np.random.default_rng(s)
