@@ -70,6 +70,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], names: list[str], types: list[pa.DataType]) -> DataFrame:
+    """A table of rows that the driver has, passed on through Arrow: plain rows would start Python workers of another kind, which executors then keep."""
+    columns = zip(*rows) if rows else ([] for _ in names)
+    return spark.createDataFrame(pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=names))
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes a materialised table that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
@@ -122,10 +128,11 @@ def side_rows(path: str, file: int, first: int, last: int, block: int = 0) -> pa
     return pa.concat_tables(pads.dataset(x, filesystem=fs, format="parquet").to_table(filter=where).sort_by("_r") for x in folders)
 
 
-def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str], *more: str) -> DataFrame:
+def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str], *more: str, made: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """The rows (numbered) that kept (_f, _r) names, with columns and what kept has more of each.
 
-    Only names and those values move: the rows stay in their scan, whatever their size.
+    Only names and those values move: the rows stay in their scan, whatever their size. made: what is made of them,
+    and its schema, in the same Python worker; a second mapInArrow would take, and an executor keep, one more a core.
     """
     path = side_table(kept.select("_f", "_r", *more), "kept")
     schema = rows.select(*columns).schema
@@ -150,7 +157,8 @@ def keep_rows(rows: DataFrame, kept: DataFrame, columns: list[str], *more: str)
                     yield pa.RecordBatch.from_arrays([*out.columns[:n], *(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in extra)], names=schema.names)
             tidy()
 
-    return rows.select(*columns, "_f", "_r").mapInArrow(run, schema)
+    of, schema_of = made or (iter, schema)
+    return rows.select(*columns, "_f", "_r").mapInArrow(lambda batches: of(run(batches)), schema_of)
 
 
 def tidy() -> None:

@@ -16,11 +16,12 @@ extra columns are ignored by the query and kept by `mix_rows`.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import check_columns, load, materialize, numbered, shielded, word_count
+from .common import check_columns, load, materialize, numbered, shielded, small_table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -51,7 +52,7 @@ def ranked(df: DataFrame, key: str) -> DataFrame:
     for p, n in sorted((r[0], r[1]) for r in thin.groupBy(part.alias("p")).count().collect()):
         starts.append((p, first))
         first += n
-    table = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], "_p long, _start long"))  # one row a shuffle partition
+    table = F.broadcast(small_table(df.sparkSession, starts or [(0, 0)], ["_p", "_start"], [pa.int64(), pa.int64()]))  # one row a shuffle partition
     return thin.withColumn("_p", part).join(table, "_p").withColumn("_rank", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_m", "_start")
 
 

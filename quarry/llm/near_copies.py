@@ -308,8 +308,8 @@ def _mapped_file(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
 
 
-def stored_sets(texts: DataFrame, root: str) -> DataFrame:
-    """(sig, file, at, n, bits): where the set of each of texts lies, and its parity; in files below root written by the task that met it."""
+def stored_sets(rows: DataFrame, named: DataFrame, root: str) -> DataFrame:
+    """(sig, file, at, n, bits): where the set of each of the named rows lies, and its parity; in files below root written by the task that met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(root, exist_ok=True)
@@ -321,7 +321,7 @@ def stored_sets(texts: DataFrame, root: str) -> DataFrame:
             sigs = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([name] * len(sets)), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([parity(x) for x in sets], pa.binary())], names=["sig", "file", "at", "n", "bits"])
 
-    return texts.select("text").mapInArrow(run, "sig long, file string, at long, n long, bits binary")
+    return keep_rows(rows, named, ["text"], made=(run, "sig long, file string, at long, n long, bits binary"))
 
 
 def verified(pairs: DataFrame, places: DataFrame, root: str) -> DataFrame:
@@ -364,7 +364,7 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
     inside = met.select(F.explode("sig").alias("sig")).distinct()
     root = posix(shared_path(docs.sparkSession, "shingles"))
     named = materialize(inside.join(lows, "sig").select("low._f", "low._r"), "met")
-    places = materialize(stored_sets(keep_rows(rows, named, ["text"]), root), "sets")
+    places = materialize(stored_sets(rows, named, root), "sets")
     drop_table(named)
     near = materialize(verified(fingerprinted(lows).union(neighbours(met)).distinct(), places, root), "near")
     roots = materialize(components(near), "roots")

@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, check_columns, drop_table, load, materialize, posix, shared_path, slices
+from .common import bounded, check_columns, drop_table, load, materialize, posix, shared_path, slices, small_table, tidy
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -312,6 +312,7 @@ def count_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, n) over all texts, counted map-side first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary_at.cache_clear()  # a worker may hold that of an earlier table
         seen: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(map(_word, seen)), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
         for batch in slices(batches):
@@ -329,7 +330,7 @@ def count_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, edges): of each distinct word, the substrings that are pieces as (s, e, score, id), end exclusive."""
     spark = words.sparkSession
-    table = F.broadcast(spark.createDataFrame([(p, i, float(pieces.scores[p])) for p, i in pieces.ids.items()], "piece string, id int, score double"))  # bounded by the model
+    table = F.broadcast(small_table(spark, [(p, i, float(pieces.scores[p])) for p, i in pieces.ids.items()], ["piece", "id", "score"], [pa.string(), pa.int32(), pa.float64()]))  # bounded by the model
     spans = words.select("word", F.length("word").alias("l")).select("word", "l", F.explode(F.sequence(F.lit(0), F.col("l") - 1)).alias("s"))
     spans = spans.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("l"), F.col("s") + pieces.longest))).alias("e"))
     edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(table, "piece")
@@ -386,7 +387,7 @@ def dictionary(docs: DataFrame, pieces: Pieces) -> str:
     return path
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def dictionary_at(path: str) -> dict[str, bytes]:
     """The ids, as the bytes of 32-bit numbers, of the dictionary's words by name."""
     fs, root = (pafs.LocalFileSystem(), posix(path)) if "://" not in path or path.startswith("file:") else pafs.FileSystem.from_uri(path)
@@ -430,6 +431,8 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 sizes.append(sizes[-1] + len(ids) // 4)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, pa.array(shas, pa.string())], names=schema.names)
+        del base, base_raw, known, decoded
+        tidy()
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

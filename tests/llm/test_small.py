@@ -673,3 +673,35 @@ def test_nth_bit():
         k = np.arange(64)
         got = elias_fano.nth_bit(np.full(64, x, np.uint64), k.astype(np.uint64))
         assert got.tolist() == places + [64] * (64 - len(places))
+
+
+def test_stages_need_one_python_worker_a_task(spark, home, monkeypatch):
+    """Workers beyond one a core, and those of plain rows, stay in the memory of an executor."""
+    plans = []
+
+    def seen(module):
+        whole = module.materialize
+
+        def materialize(df, tag):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return whole(df, tag)
+
+        monkeypatch.setattr(module, "materialize", materialize)
+
+    for module in (near_copies, mixing, langid, sentencepieces):
+        seen(module)
+    docs = spark.read.parquet(f"{home}/full/documents.parquet")
+    last = [langid.keep_known(docs), near_copies.deduplicate(docs), pii.redact(docs), mixing.mix_documents(docs), sentencepieces.encode(docs, sentencepieces.Pieces())]
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in last]
+    words = sentencepieces.encode_words(spark.createDataFrame(pa.table({"word": ["a"]})), sentencepieces.Pieces())
+    plans.append(words._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInArrow" in p for p in plans) > 8
+    assert not any("ExistingRDD" in p for p in plans)
+    for plan in plans:
+        for stage in re.split("Exchange", plan):
+            assert stage.count("MapInArrow") < 2
+
+
+def test_dictionaries_of_earlier_tables_go(spark, home):
+    sentencepieces.encode(spark.read.parquet(f"{home}/full/documents.parquet"), sentencepieces.Pieces()).collect()
+    assert sentencepieces.dictionary_at.cache_info().maxsize == 1
