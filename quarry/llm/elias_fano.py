@@ -54,8 +54,8 @@ class EliasFano:
         if bits:
             step = 1 << 15  # a multiple of 8: parts end at whole bytes
             for a in range(0, n, step):
-                x = v[a : a + step]
-                packed.append(np.packbits(((x[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little"))
+                x = v[a : a + step].astype("<u8").view(np.uint8).reshape(-1, 8)
+                packed.append(np.packbits(np.unpackbits(x, axis=1, count=bits, bitorder="little"), bitorder="little"))
         low = np.concatenate([*packed, np.zeros(8, np.uint8)])
         size = n + (int(parts[-1]) if n else 0) + 1
         marks = np.zeros((size + 63) // 64 * 64, np.uint8)

@@ -14,7 +14,7 @@ with T the number of distinct successors of a context and D the discount; an unk
 score is the sum of log10 p(w | u), score_3 that of log10 p(w | t u); before a text stands one end, so its first word
 has a context of one. Levels are cut into shards of about SHARD_TOKENS training tokens by a position that rises with
 (u, w), hot contexts included; the triples of a pair lie in its shard, under its place there. Pairs are counted as
-the triples that they begin. Each shard is a set of memory-mapped files in the shared folder, which scoring tasks map as they
+the triples that they begin; these go to their shards in packed runs. Each shard is a set of memory-mapped files in the shared folder, which scoring tasks map as they
 need them. Everything is counted over all training documents, map-side first; nothing is pruned.
 
 Defined cases: a null text is empty and scores its end token; with no training document N = V = 0 and
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import check_columns, crc_mod, load, materialize, posix, shared_path, tidy
+from .common import bounded, check_columns, crc_mod, load, materialize, posix, shared_path, tidy
 from .elias_fano import EliasFano, save_array
 
 DISCOUNT = 0.75
@@ -47,6 +47,8 @@ SHARD_WORDS = 1_000_000
 #: Tokens that a task counts at a time, and those that it scores: every shard of the model is asked once for each run.
 TOKENS = 200_000
 SCORED = 800_000
+#: Triples of a shard in a row of the shuffle (16 bytes each, so an Arrow batch holds 64 MB at most): a row a triple costs more to move and sort than all else about it.
+PACKED = 4_000
 END = b" "  # no word holds a space
 
 
@@ -245,8 +247,33 @@ def contexts(ids: np.ndarray, end: int) -> np.ndarray:
     return np.r_[end, ids[:-1]]
 
 
+def grouped(key: np.ndarray, w: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, w), ascending, and the sum of the c of each (or how often it is there). w is -1 or more; sorts are of single numbers, which are quick."""
+    own, at = np.unique(key, return_inverse=True)
+    x = at << 32 | w.astype(np.int64) + 1
+    if c is None:
+        x.sort()
+    else:
+        order = np.argsort(x)
+        x, c = x[order], c[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    c = np.diff(np.r_[first, len(x)]) if c is None else np.add.reduceat(c, first, dtype=np.int64)
+    x = x[first]
+    return own[x >> 32], (x & 0xFFFFFFFF) - 1, c
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers, byte by byte of all numbers: mostly equal bytes stand together, which the shuffle compresses."""
+    return np.stack([x.astype(np.int32) for x in columns]).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1).tobytes()
+
+
+def unpacked(run: bytes, n: int) -> np.ndarray:
+    """The n columns of a packed run."""
+    return np.ascontiguousarray(np.frombuffer(run, np.uint8).reshape(n, 4, -1).transpose(0, 2, 1)).view(np.int32)[:, :, 0]
+
+
 def count_triples(docs: DataFrame, root: str) -> DataFrame:
-    """(s, key, w, c): shard, pair u << 32 | v, the word after it, and their count within a run of tokens; w is -1 where v ends a text."""
+    """(s, run): shard, and triples u, v, w with their count within a run of tokens, packed; w is -1 where v ends a text. A row holds PACKED of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_at(root)
@@ -255,14 +282,20 @@ def count_triples(docs: DataFrame, root: str) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             key, w = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
-            order = np.lexsort((w, key))
-            key, w = key[order], w[order]
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (w[1:] != w[:-1])])
-            c = np.diff(np.r_[first, len(key)]).astype(np.int32)
-            key, w = key[first], w[first]
-            s = shard_of(words, key >> 32, key & 0xFFFFFFFF).astype(np.int32)
-            for a in range(0, len(key), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (s, key, w, c)], names=["s", "key", "w", "c"])
+            key, w, c = grouped(key, w)
+            u, v = key >> 32, key & 0xFFFFFFFF
+            s = shard_of(words, u, v).astype(np.int32)  # ascending
+            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            shards, runs, held = [], [], 0
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)]):
+                for i in range(a, b, PACKED):
+                    j = min(b, i + PACKED)
+                    shards.append(s[i])
+                    runs.append(packed(u[i:j], v[i:j], w[i:j], c[i:j]))
+                    held += j - i
+                    if held >= 200_000 or j == len(s):
+                        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(runs, pa.binary())], names=["s", "run"])
+                        shards, runs, held = [], [], 0
 
         for codes, distinct, *_ in documents(batches, 0):
             ids = words.ids(word_hash(distinct))[codes]
@@ -275,7 +308,7 @@ def count_triples(docs: DataFrame, root: str) -> DataFrame:
         if waiting:
             yield from out()
 
-    return docs.select("text").mapInArrow(run, "s int, key long, w int, c int")
+    return docs.select("text").mapInArrow(run, "s int, run binary")
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -299,12 +332,10 @@ def write_levels(triples: DataFrame, root: str) -> None:
     """Writes levels 2 and 3 and the back-off weights of level 1."""
     os.makedirs(f"{root}/3", exist_ok=True)
 
-    def build(s: int, key: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    def build(s: int, runs: list[np.ndarray]) -> pa.RecordBatch:
         words = words_at(root)
-        order = np.lexsort((w, key))
-        key, w, c = key[order], w[order], c[order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (w[1:] != w[:-1])])
-        key, w, c = key[first], w[first], np.add.reduceat(c, first, dtype=np.int64)
+        u, v, w, c = np.concatenate(runs, axis=1)
+        key, w, c = grouped(u.astype(np.int64) << 32 | v, w, c)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         pair, total = key[first], np.add.reduceat(c, first)
         size = np.add.reduceat((w >= 0).astype(np.int64), first)
@@ -325,17 +356,15 @@ def write_levels(triples: DataFrame, root: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            s, *rest = (batch.column(i).to_numpy() for i in range(4))
-            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else []
-            for a, b in zip(cuts, np.r_[cuts[1:], len(s)].astype(int)):
-                if now is not None and s[a] != now:
-                    yield build(now, *map(np.concatenate, zip(*held)))
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if now is not None and s != now:
+                    yield build(now, held)
                     held = []
                     tidy()
-                now = int(s[a])
-                held.append([x[a:b].copy() for x in rest])
+                now = s
+                held.append(unpacked(x.as_buffer(), 4))
         if held:
-            yield build(now, *map(np.concatenate, zip(*held)))
+            yield build(now, held)
 
     tasks = min(20_000, 2 * words_at(root).meta["shards"])  # about a shard each: what a task sorts stays small
     made = materialize(triples.repartition(tasks, "s").sortWithinPartitions("s").mapInArrow(run, "s long, lo long, hi long, u long, t long"), "contexts")
@@ -436,6 +465,7 @@ def trie_at(root: str) -> Trie:
 
 def train(docs: DataFrame) -> str:
     """Builds the model of docs (text) in the shared folder; returns its place."""
+    bounded(docs.sparkSession)
     root = posix(shared_path(docs.sparkSession, "trie"))
     n, _ = write_words(materialize(count_words(docs), "words"), root)
     if n:

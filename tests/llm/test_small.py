@@ -705,3 +705,40 @@ def test_stages_need_one_python_worker_a_task(spark, home, monkeypatch):
 def test_dictionaries_of_earlier_tables_go(spark, home):
     sentencepieces.encode(spark.read.parquet(f"{home}/full/documents.parquet"), sentencepieces.Pieces()).collect()
     assert sentencepieces.dictionary_at.cache_info().maxsize == 1
+
+
+def test_grouped_triples():
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(1, 300))
+        u, v, w, c = r.integers(0, 5, n) + (seed % 2 << 30), r.integers(0, 4, n), r.integers(-1, 4, n), r.integers(1, 9, n)
+        want = Counter()
+        for k, x, y in zip((u << 32 | v).tolist(), w.tolist(), c.tolist()):
+            want[k, x] += y
+        got = ngram_lm.grouped(u << 32 | v, w, c)
+        assert list(zip(*(x.tolist() for x in got))) == [(*k, want[k]) for k in sorted(want)]
+        got = ngram_lm.grouped(u << 32 | v, w)
+        assert dict(zip(zip(got[0].tolist(), got[1].tolist()), got[2].tolist())) == Counter(zip((u << 32 | v).tolist(), w.tolist()))
+        assert (ngram_lm.unpacked(ngram_lm.packed(u, v, w, c), 4) == [u, v, w, c]).all()
+
+
+@pytest.mark.parametrize("most", [4_000, 7])
+def test_triples_move_in_runs(spark, home, monkeypatch, most):
+    """Few rows go through the shuffle, none of them large, and they hold every triple."""
+    monkeypatch.setattr(ngram_lm, "PACKED", most)
+    docs = spark.read.parquet(f"{home}/full/documents.parquet").select("text")
+    root = ngram_lm.train(docs)
+    rows = ngram_lm.count_triples(docs, root).collect()
+    words, want, got = ngram_lm.words_at(root), Counter(), Counter()
+    known = sorted({b" "}.union(*((r[1] or "").encode().lower().split() for r in table())))
+    name = dict(zip(known, words.ids(ngram_lm.word_hash(known)).tolist()))
+    for r in table():
+        t = [name[w] for w in [b" ", *(r[1] or "").encode().lower().split(), b" "]]
+        want.update(zip(t, t[1:], [*t[2:], -1]))
+    sizes = []
+    for r in rows:
+        u, v, w, c = ngram_lm.unpacked(r.run, 4).tolist()
+        sizes.append(len(u))
+        for k, x in zip(zip(u, v, w), c):
+            got[k] += x
+    assert got == want and max(sizes) <= most and (most == 7 or len(rows) < sum(sizes) / 50)
