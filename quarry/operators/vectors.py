@@ -62,12 +62,12 @@ def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60,
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("s").alias("score"))
 
 
-def rsf(lists: list[DataFrame], weights: list[float] | None = None, window: int = 100) -> DataFrame:
-    """Relative score fusion: each list's head scaled to [0, 1] (all equal: 1), weighted and added."""
+def rsf(lists: list[DataFrame], weights: list[float] | None = None, window: int = 100, flat: float = 1.0) -> DataFrame:
+    """Relative score fusion: each list's head scaled to [0, 1] (flat where all are equal), weighted and added."""
     weights = weights or [1.0] * len(lists)
     parts = []
     for d, w in zip(lists, weights):
         head = _top(d, window)
         lo, hi = F.min("score").over(Window.partitionBy()), F.max("score").over(Window.partitionBy())
-        parts.append(head.select("id", (F.when(hi > lo, F.try_divide(F.col("score") - lo, hi - lo)).otherwise(1.0) * float(w)).alias("s")))
+        parts.append(head.select("id", (F.when(hi > lo, F.try_divide(F.col("score") - lo, hi - lo)).otherwise(flat) * float(w)).alias("s")))
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("s").alias("score"))
