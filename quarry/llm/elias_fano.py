@@ -35,13 +35,88 @@ def nth_bit(words: np.ndarray, left: np.ndarray) -> np.ndarray:
     return np.where(none, 64, shift.astype(np.int64) + at)
 
 
-class EliasFano:
-    """A non-decreasing sequence: high parts in unary, low parts packed to a fixed number of bits."""
+class Sequences:
+    """Non-decreasing sequences end to end, each with its high parts in unary and its low parts packed to a fixed number of bits.
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
-        self.n, self.bits = n, bits
+    The directories of set and unset bits run through all of them, so a search in many sequences takes one pass.
+    """
+
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, low_at: np.ndarray, high_at: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        """low_at and high_at: where each begins, in bytes and in words; they end with where the last ends."""
+        self.sizes, self.bits, self.low_at, self.high_at = (np.asarray(x, np.int64) for x in (sizes, bits, low_at, high_at))
         self.low, self.high, self.ones, self.zeros = map(np.asarray, (low, high, ones, zeros))  # plain views of mapped files
         self.rows = np.lib.stride_tricks.as_strided(self.low, (max(1, len(self.low) - 7), 8), (1, 1))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.masks = (1 << self.bits) - 1
+        self.ones_at, self.zeros_at = (x[self.high_at[:-1]].astype(np.int64) for x in (self.ones, self.zeros))
+
+    @classmethod
+    def load(cls, path: str) -> Sequences:
+        sizes, bits, low_at, high_at = np.load(f"{path}.of.npy")
+        return cls(sizes[:-1], bits[:-1], low_at, high_at, *(np.load(f"{path}.{k}.npy", mmap_mode="r") for k in ("low", "high", "ones", "zeros")))
+
+    def _lows(self, i: np.ndarray, bits: np.ndarray, first: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        at = i * bits + first
+        word = np.ascontiguousarray(self.rows[at >> 3]).view(np.uint64).reshape(-1)
+        return (word >> (at & 7).astype(np.uint64)).astype(np.int64) & mask
+
+    def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
+        w = np.searchsorted(directory, k.astype(directory.dtype), side="right") - 1
+        words = self.high[np.minimum(w, len(self.high) - 1)]
+        left = (k - directory[np.minimum(w, len(directory) - 1)].astype(np.int64)).astype(np.uint64)
+        return w * 64 + nth_bit(~words if flip else words, left)
+
+    def _zero(self, at: np.ndarray) -> np.ndarray:
+        """The first unset bit from each place on; there is one."""
+        w = at >> 6
+        free = ~self.high[w] >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count((free & (~free + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(free == 0)
+        if len(far):
+            out[far] = self._select(self.zeros[w[far] + 1].astype(np.int64), self.zeros, True)
+        return out
+
+    def access(self, i: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The values at places i of sequences s."""
+        part = self._select(i + self.ones_at[s], self.ones, False) - self.high_at[s] * 64 - i
+        return (part << self.bits[s]) | self._lows(i, self.bits[s], self.low_at[s] * 8, self.masks[s])
+
+    def find(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where x would stand in sequences s: the first place whose value is x or more, and whether it is x."""
+        bits, first, mask, size = self.bits[s], self.low_at[s] * 8, self.masks[s], self.sizes[s]
+        part, low = x >> bits, x & mask
+        begin = self.high_at[s] * 64
+        most = self.high_at[s + 1] * 64 - begin - size  # zeros in all
+        over = part >= most
+        p = np.where(over, 0, part)
+        later = p > 0
+        at = np.where(later, self._select(p + self.zeros_at[s] - later, self.zeros, True) + 1, begin)  # behind the zero before, or the begin
+        a = at - begin - p
+        b = self._zero(at) - begin - p
+        a, end = np.minimum(a, size), np.minimum(b, size)
+        lo, hi = a.copy(), end.copy()
+        live = np.flatnonzero(lo < hi)
+        own = [v[live] for v in (bits, first, mask, low)]
+        while len(live):
+            at, till = lo[live], hi[live]
+            mid = (at + till) >> 1
+            less = self._lows(mid, *own[:3]) < own[3]
+            lo[live] = at = np.where(less, mid + 1, at)
+            hi[live] = till = np.where(less, till, mid)
+            more = at < till
+            live = live[more]
+            own = [v[more] for v in own]
+        hit = (lo < end) & ~over
+        hit[hit] = self._lows(lo[hit], bits[hit], first[hit], mask[hit]) == low[hit]
+        return np.where(over, size, lo), hit
+
+
+class EliasFano(Sequences):
+    """One sequence."""
+
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        self.n = n
+        super().__init__([n], [bits], [0, len(low)], [0, len(high)], low, high, ones, zeros)
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -71,7 +146,7 @@ class EliasFano:
             save_array(f"{path}.{k}.npy", getattr(self, k))
         tmp = f"{path}.json.{os.getpid()}"
         with open(tmp, "w") as f:
-            json.dump({"n": self.n, "bits": self.bits}, f)
+            json.dump({"n": self.n, "bits": int(self.bits[0])}, f)
         os.replace(tmp, f"{path}.json")
 
     @classmethod
@@ -80,45 +155,46 @@ class EliasFano:
             meta = json.load(f)
         return cls(meta["n"], meta["bits"], *(np.load(f"{path}.{k}.npy", mmap_mode="r") for k in ("low", "high", "ones", "zeros")))
 
-    def _lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.bits:
-            return np.zeros(len(i), np.int64)
-        at = i * self.bits
-        byte = at >> 3
-        word = np.ascontiguousarray(self.rows[byte]).view(np.uint64).reshape(-1)
-        return ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-
-    def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
-        w = np.searchsorted(directory, k.astype(directory.dtype), side="right") - 1
-        words = self.high[np.minimum(w, len(self.high) - 1)]
-        left = (k - directory[np.minimum(w, len(directory) - 1)].astype(np.int64)).astype(np.uint64)
-        return w * 64 + nth_bit(~words if flip else words, left)
-
-    def access(self, i: np.ndarray) -> np.ndarray:
+    def access(self, i: np.ndarray, s: np.ndarray | None = None) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        return ((self._select(i, self.ones, False) - i) << self.bits) | self._lows(i)
+        return super().access(i, np.zeros(len(i), np.int64))
 
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where x would stand: the first place whose value is x or more, and whether it is x."""
+    def find(self, x: np.ndarray, s: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         x = np.asarray(x, np.int64)
-        part, low = x >> self.bits, x & ((1 << self.bits) - 1)
-        most = len(self.high) * 64 - self.n  # zeros in all
-        over = part >= most
-        p = np.where(over, 0, part)
-        a = np.where(p > 0, self._select(np.maximum(p - 1, 0), self.zeros, True) - np.maximum(p - 1, 0), 0)
-        b = self._select(p, self.zeros, True) - p
-        a, end = np.minimum(a, self.n), np.minimum(b, self.n)
-        lo, hi = a.copy(), end.copy()
-        live = np.flatnonzero(lo < hi)
-        while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._lows(mid) < low[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        hit = (lo < end) & ~over
-        hit[hit] = self._lows(lo[hit]) == low[hit]
-        return np.where(over, self.n, lo), hit
+        return super().find(x, np.zeros(len(x), np.int64))
+
+
+def join_sequences(paths: list[str], path: str) -> None:
+    """Puts saved sequences end to end; holds a part of one at a time."""
+    metas = []
+    for p in paths:
+        with open(f"{p}.json") as f:
+            metas.append(json.load(f))
+    sizes = {k: join_arrays([f"{p}.{k}.npy" for p in paths], f"{path}.{k}.npy") for k in ("low", "high")}
+    for k in ("ones", "zeros"):
+        join_arrays([f"{p}.{k}.npy" for p in paths], f"{path}.{k}.npy", directory=True)
+    low_at, high_at = (np.r_[0, np.cumsum(sizes[k])] for k in ("low", "high"))
+    n, bits = (np.array([m[k] for m in metas] + [0]) for k in ("n", "bits"))
+    save_array(f"{path}.of.npy", np.stack([n, bits, low_at, high_at]))
+
+
+def join_arrays(paths: list[str], path: str, directory: bool = False) -> list[int]:
+    """Puts saved arrays end to end and returns their lengths. Those of a directory of counts go on from one another."""
+    parts = [np.load(p, mmap_mode="r") for p in paths]
+    kind = parts[0].dtype
+    if directory:
+        ends = np.cumsum([int(p[-1]) for p in parts])
+        kind = np.dtype(np.uint32 if ends[-1] < 1 << 32 else np.uint64)
+    held = sum(map(len, parts)) - directory * (len(parts) - 1)
+    tmp = f"{path}.{os.getpid()}"
+    with open(tmp, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (held,)})
+        for k, p in enumerate(parts):
+            if directory:
+                p = (p[: len(p) - (k < len(parts) - 1)].astype(np.uint64) + np.uint64(ends[k - 1] if k else 0)).astype(kind)
+            f.write(memoryview(np.ascontiguousarray(p)).cast("B") if len(p) else b"")
+    os.replace(tmp, path)
+    return [len(p) for p in parts]
 
 
 def save_array(path: str, a: np.ndarray) -> None:

@@ -14,8 +14,9 @@ with T the number of distinct successors of a context and D the discount; an unk
 score is the sum of log10 p(w | u), score_3 that of log10 p(w | t u); before a text stands one end, so its first word
 has a context of one. Levels are cut into shards of about SHARD_TOKENS training tokens by a position that rises with
 (u, w), hot contexts included; the triples of a pair lie in its shard, under its place there. Pairs are counted as
-the triples that they begin; these go to their shards in packed runs. Each shard is a set of memory-mapped files in the shared folder, which scoring tasks map as they
-need them. Everything is counted over all training documents, map-side first; nothing is pruned.
+the triples that they begin; these go to their shards in packed runs. Shards are put end to end in VOLUMES volumes at most, sets of memory-mapped
+files in the shared folder, which scoring tasks map as they need them: a run of tokens is looked up in all shards of a volume at once, so what it costs doesn't
+grow with the number of shards. Everything is counted over all training documents, map-side first; nothing is pruned.
 
 Defined cases: a null text is empty and scores its end token; with no training document N = V = 0 and
 every score is log10 of 1; unknown words share the mass of one; repeated rows count each time; an empty table
@@ -37,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, check_columns, crc_mod, load, materialize, posix, shared_path, tidy
-from .elias_fano import EliasFano, save_array
+from .elias_fano import EliasFano, Sequences, join_arrays, join_sequences, save_array
 
 DISCOUNT = 0.75
 QUANTA = 65_535
 LOWEST = 12.0
 SHARD_TOKENS = 1_000_000
 SHARD_WORDS = 1_000_000
-#: Tokens that a task counts at a time, and those that it scores: every shard of the model is asked once for each run.
+#: Sets of files that the shards of the model are put together in, by as many tasks.
+VOLUMES = 32
+#: Tokens that a task counts at a time, and those that it scores: every volume of the model is asked once for each run.
 TOKENS = 200_000
 SCORED = 800_000
 #: Triples of a shard in a row of the shuffle (16 bytes each, so an Arrow batch holds 64 MB at most): a row a triple costs more to move and sort than all else about it.
@@ -369,8 +372,9 @@ def write_levels(triples: DataFrame, root: str) -> None:
     tasks = min(20_000, 2 * words_at(root).meta["shards"])  # about a shard each: what a task sorts stays small
     made = materialize(triples.repartition(tasks, "s").sortWithinPartitions("s").mapInArrow(run, "s long, lo long, hi long, u long, t long"), "contexts")
     spans = sorted(tuple(r) for r in made.select("s", "lo", "hi").distinct().collect())  # one row a shard
+    join_volumes(triples.sparkSession, [s for s, *_ in spans], per := -(-len(spans) // VOLUMES), root)
     with open(f"{root}/shards.json", "w") as f:
-        json.dump(spans, f)
+        json.dump({"volume": per, "spans": spans}, f)
     first = words_at(root).first.tolist()
     piece = F.lit(0)
     for k in range(1, len(first)):
@@ -395,66 +399,103 @@ def write_levels(triples: DataFrame, root: str) -> None:
     by.repartition("k").sortWithinPartitions("k").mapInArrow(weights, "k long").count()
 
 
+def join_volumes(spark: SparkSession, shards: list[int], per: int, root: str) -> None:
+    """Puts so many shards at a time end to end, in both levels, and removes their own files."""
+
+    def join(v: int) -> None:
+        own = shards[v * per : v * per + per]
+        done = f"{root}/volume-{v}.json"
+        for folder in (root, f"{root}/3"):
+            if not os.path.exists(done):  # else an earlier attempt has been removing them
+                for k in ("pointers", "children"):
+                    join_sequences([f"{folder}/{k}-{s}" for s in own], f"{folder}/{k}-of-{v}")
+                for k in ("probabilities", *["backoff"] * folder.endswith("/3")):
+                    join_arrays([f"{folder}/{k}-{s}.npy" for s in own], f"{folder}/{k}-of-{v}.npy")
+        with open(done, "w") as f:
+            json.dump(own, f)
+        files = [f"{k}-{s}.{x}" for s in own for k in ("pointers", "children") for x in ("low.npy", "high.npy", "ones.npy", "zeros.npy", "json")]
+        for folder, more in ((root, ["probabilities"]), (f"{root}/3", ["probabilities", "backoff"])):
+            for x in [*files, *(f"{k}-{s}.npy" for k in more for s in own)]:
+                if os.path.exists(f"{folder}/{x}"):
+                    os.remove(f"{folder}/{x}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                join(v)
+            yield batch
+
+    n = -(-len(shards) // per)
+    spark.range(0, n, 1, n).mapInArrow(run, "id long").count()
+
+
 class Trie:
     """The memory-mapped model."""
 
     def __init__(self, root: str) -> None:
         self.root, self.words = root, words_at(root)
         with open(f"{root}/shards.json") as f:
-            spans = json.load(f)
-        self.names = [s[0] for s in spans]
-        self.firsts = np.array([s[1] for s in spans], np.int64)
+            made = json.load(f)
+        self.per = made["volume"]
+        self.firsts = np.array([s[1] for s in made["spans"]], np.int64)
 
-    @lru_cache(maxsize=256)  # noqa: B019
-    def shard(self, s: int, level: int = 2) -> tuple[EliasFano, EliasFano, np.ndarray]:
+    @lru_cache(maxsize=2 * VOLUMES)  # noqa: B019
+    def volume(self, v: int, level: int = 2) -> tuple[Sequences, Sequences, np.ndarray]:
         root = self.root if level == 2 else f"{self.root}/{level}"
-        return EliasFano.load(f"{root}/pointers-{s}"), EliasFano.load(f"{root}/children-{s}"), np.asarray(np.load(f"{root}/probabilities-{s}.npy", mmap_mode="r"))
+        return Sequences.load(f"{root}/pointers-of-{v}"), Sequences.load(f"{root}/children-of-{v}"), np.asarray(np.load(f"{root}/probabilities-of-{v}.npy", mmap_mode="r"))
+
+    @lru_cache(maxsize=VOLUMES)  # noqa: B019
+    def weights(self, v: int) -> np.ndarray:
+        return np.asarray(np.load(f"{self.root}/3/backoff-of-{v}.npy", mmap_mode="r"))
 
-    @lru_cache(maxsize=128)  # noqa: B019
-    def weights(self, s: int) -> np.ndarray:
-        return np.load(f"{self.root}/3/backoff-{s}.npy", mmap_mode="r")
+    def volumes(self, part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The volumes of ascending shards, and from where to where each of them is asked; -1 is in none."""
+        vol = part // self.per
+        cuts = np.flatnonzero(np.r_[True, vol[1:] != vol[:-1]]) if len(vol) else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(vol)]):
+            if vol[a] >= 0:
+                yield int(vol[a]), a, b
 
     @staticmethod
-    def child(pointers: EliasFano, children: EliasFano, ctx: np.ndarray, back: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words w among the children of contexts ctx[back], and whether they are there."""
-        a, b = pointers.access(ctx), pointers.access(ctx + 1)
-        if not children.n:
-            return np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-        base = np.where(a > 0, children.access(np.maximum(a - 1, 0)) + 1, 0)
-        i, hit = children.find(base[back] + w)
-        return i, hit & (i >= a[back]) & (i < b[back])
+    def child(pointers: Sequences, children: Sequences, s: np.ndarray, ctx: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words w among the children of contexts ctx of shards s, and whether they are there; (s, ctx) ascends."""
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (ctx[1:] != ctx[:-1])]) if len(s) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[first, len(s)])
+        of, c = s[first], ctx[first]
+        a, b = pointers.access(c, of), pointers.access(c + 1, of)
+        base = np.where(a > 0, children.access(np.maximum(a - 1, 0), of) + 1, 0)
+        i, hit = children.find(np.repeat(base, times) + w, s)
+        return i, hit & (i >= np.repeat(a, times)) & (i < np.repeat(b, times))
 
     def pair(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Discounted probabilities of sorted distinct pairs, 0 where unseen, and their nodes (shard << 32 | place), -1 where unseen."""
         out, node = np.zeros(len(key)), np.full(len(key), -1, np.int64)
         part = np.searchsorted(self.firsts, key, side="right") - 1
-        for k in np.unique(part[part >= 0]):
-            at = np.flatnonzero(part == k)
-            u, w = key[at] >> 32, key[at] & 0xFFFFFFFF
-            pointers, children, levels = self.shard(self.names[k])
-            u = u - int(self.firsts[k] >> 32)
-            inside = u < pointers.n - 1
-            at, u, w = at[inside], u[inside], w[inside]
-            ctx, back = np.unique(u, return_inverse=True)
-            i, hit = self.child(pointers, children, ctx, back, w)
-            out[at[hit]] = probability(levels[i[hit]])
-            node[at[hit]] = k << 32 | i[hit]
+        for v, a, b in self.volumes(part):
+            pointers, children, levels = self.volume(v)
+            u = (key[a:b] >> 32) - (self.firsts[part[a:b]] >> 32)
+            at = np.flatnonzero(u < pointers.sizes[part[a:b] - v * self.per] - 1)
+            u, at = u[at], a + at
+            s = part[at] - v * self.per
+            i, hit = self.child(pointers, children, s, u, key[at] & 0xFFFFFFFF)
+            at, s, i = at[hit], s[hit], i[hit]
+            out[at] = probability(levels[children.starts[s] + i])
+            node[at] = part[at] << 32 | i
         return out, node
 
     def triple(self, node: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probabilities of words (-1: unknown) after pairs, given by their nodes, and the weights of the shorter context."""
+        """Discounted probabilities of words (-1: none to look up) after pairs, given by their nodes, and the weights of the shorter context."""
         seen, weight = np.zeros(len(node)), np.ones(len(node))
         order = np.argsort(node)
-        part = node[order] >> 32
-        for k in np.unique(part):
-            at = order[np.searchsorted(part, k) : np.searchsorted(part, k, side="right")]
-            s = self.names[k]
-            pointers, children, levels = self.shard(s, 3)
-            weight[at] = probability(self.weights(s)[node[at] & 0xFFFFFFFF])
-            at = at[w[at] >= 0]
-            ctx, back = np.unique(node[at] & 0xFFFFFFFF, return_inverse=True)
-            i, hit = self.child(pointers, children, ctx, back, w[at])
-            seen[at[hit]] = probability(levels[i[hit]])
+        node = node[order]
+        for v, a, b in self.volumes(node >> 32):
+            pointers, children, levels = self.volume(v, 3)
+            at, s, place = order[a:b], (node[a:b] >> 32) - v * self.per, node[a:b] & 0xFFFFFFFF
+            weight[at] = probability(self.weights(v)[pointers.starts[s] - s + place])  # a shard has one pointer more than pairs
+            known = w[at] >= 0
+            at, s, place = at[known], s[known], place[known]
+            i, hit = self.child(pointers, children, s, place, w[at])
+            seen[at[hit]] = probability(levels[children.starts[s[hit]] + i[hit]])
         return seen, weight
 
 
@@ -472,7 +513,7 @@ def train(docs: DataFrame) -> str:
         write_levels(count_triples(docs, root), root)
     else:
         with open(f"{root}/shards.json", "w") as f:
-            f.write("[]")
+            json.dump({"volume": 1, "spans": []}, f)
         save_array(f"{root}/backoff-0.npy", np.zeros(0, np.float32))
     return root
 
@@ -513,7 +554,7 @@ def scored(docs: DataFrame, root: str) -> DataFrame:
             before[starts] = -1
             after = np.flatnonzero(before >= 0)
             p3 = p.copy()
-            seen, weight = trie.triple(before[after], ids[after])
+            seen, weight = trie.triple(before[after], np.where(node[after] >= 0, ids[after], -1))  # a triple's end is a pair that was seen
             p3[after] = seen + weight * p[after]
             sums = lambda x: np.add.reduceat(x, starts)
             made = [np.array(sizes, np.int64), sums((ids >= 0).astype(np.int64)), np.full(len(rows), n, np.int64), sums(np.log10(one)), sums(np.log10(p)), sums(np.log10(p3))]
