@@ -12,7 +12,9 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -223,35 +225,56 @@ def possessive(t: Column) -> Column:
     return F.transform(t, lambda x: F.regexp_replace(x, r"['’＇][sS]$", ""))
 
 
+#: Texts whose tokens a Python worker maps at a time.
+MAPPED = 1_000
+
+
+def by_token(t: Column, of: Callable[[str], list[str]]) -> Column:
+    """Puts the tokens that `of` names in each token's place, by an Arrow UDF: each distinct token of a part is mapped once, and no other becomes a Python string."""
+
+    def part(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        made = [of(w) for w in coded.dictionary.to_pylist()]
+        of_each = np.array([len(x) for x in made], np.int64)
+        firsts = np.cumsum(of_each) - of_each
+        at = coded.indices.to_numpy()
+        if (of_each == 1).all():
+            sizes, places = None, at
+        else:
+            sizes = of_each[at]
+            places = np.repeat(firsts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        ends = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
+        ends = ends if sizes is None else np.r_[0, np.cumsum(sizes)][ends]
+        words = pa.array([w for x in made for w in x], coded.dictionary.type).take(pa.array(places))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words, mask=lists.is_null())
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        parts = [part(lists.slice(a, MAPPED)) for a in range(0, len(lists), MAPPED)]
+        return pa.concat_arrays(parts) if parts else lists
+
+    return run(t)
+
+
 @register(TOKEN_FILTERS, "dict_compound")
 def dict_compound(t: Column, words: list[str], min_word: int = 5, min_sub: int = 2, max_sub: int = 15, longest: bool = False) -> Column:
     known = set(words)
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        def one(tokens):
-            out = []
-            for w in tokens:
-                out.append(w)
-                if len(w) < min_word:
-                    continue
-                for i in range(len(w) - min_sub + 1):
-                    fits = [w[i : i + n] for n in range(min_sub, min(max_sub, len(w) - i) + 1) if w[i : i + n].lower() in known]
-                    out += fits[-1:] if longest else fits
+    def one(w: str) -> list[str]:
+        out = [w]
+        if len(w) < min_word:
             return out
+        for i in range(len(w) - min_sub + 1):
+            fits = [w[i : i + n] for n in range(min_sub, min(max_sub, len(w) - i) + 1) if w[i : i + n].lower() in known]
+            out += fits[-1:] if longest else fits
+        return out
 
-        return s.map(lambda x: None if x is None else one(x))
-
-    return run(t)
+    return by_token(t, one)
 
 
 @register(TOKEN_FILTERS, "normalize_unicode")
 def normalize_unicode(t: Column, form: str = "NFC") -> Column:
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else [unicodedata.normalize(form, w) for w in x])
-
-    return run(t)
+    return by_token(t, lambda w: [unicodedata.normalize(form, w)])
 
 
 @register(TOKEN_FILTERS, "keyword_marker")
@@ -263,21 +286,8 @@ def keyword_marker(t: Column, words: list[str], then: Callable[[Column], Column]
 
 
 def stem(t: Column, language: str) -> Column:
-    """Stems by an Arrow UDF, each distinct token of a batch once."""
     one = stemmers.STEMMERS[language]
-
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-
-        def of(w: str) -> str:
-            if w not in known:
-                known[w] = one(w)
-            return known[w]
-
-        return s.map(lambda x: None if x is None else [of(w) for w in x])
-
-    return run(t)
+    return by_token(t, lambda w: [one(w)])
 
 
 for _name in stemmers.STEMMERS:
